@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, sharding, url_filter
 
 
 def queries():
-    return {"op5_chat_format": chat.op5}
+    return {
+        "op5_chat_format": chat.op5,
+        "op7_sharding": sharding.op7,
+        "op10_url_filter": url_filter.op10,
+    }
 
 
 def oracle_sql():
-    return {"op5_chat_format": chat.OP5_SQL}
+    return {
+        "op5_chat_format": chat.OP5_SQL,
+        "op10_url_filter": url_filter.OP10_SQL,
+    }
