@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, sharding, url_filter
+from . import chat, quality_rules, sharding, url_filter
 
 
 def queries():
     return {
+        "op2_quality_rules": quality_rules.op2,
         "op5_chat_format": chat.op5,
         "op7_sharding": sharding.op7,
         "op10_url_filter": url_filter.op10,
@@ -15,6 +16,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_quality_rules": quality_rules.OP2_SQL,
         "op5_chat_format": chat.OP5_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
     }
