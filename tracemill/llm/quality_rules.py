@@ -31,7 +31,7 @@ class LineRules:
 
     min_words: int = 50
     most_repeated_percent: int = 50
-    #: A line with more words than this ends in sentence punctuation or is no prose.
+    #: A line with more words than this has sentence punctuation or is no prose.
     unpunctuated_words: int = 12
     #: Stand-alone separators between words, as menus and tables have them.
     most_separators: float = 0.2
@@ -53,7 +53,7 @@ class LineRules:
         "subscribe to our",
         "licensed under",
     )
-    ending: str = r"[.!?:;,…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*\z"
+    sentence: str = "[.!?…。！？]"
 
 
 def words_of(text: Column) -> Column:
@@ -98,7 +98,7 @@ def line_fails(line: Column, words: Column, rules: LineRules) -> Column:
     menu = (n >= 3) & (separators >= rules.most_separators * n)
     symbols = count_of(line, SYMBOLS) > rules.most_symbols * n
     shouts = (n >= 3) & (count_of(line, "!?") > F.greatest(F.lit(1.0), rules.most_shouts * n))
-    bare = (n > rules.unpunctuated_words) & ~line.rlike(rules.ending)
+    bare = (n > rules.unpunctuated_words) & ~line.rlike(rules.sentence)
     known = F.lit(False)
     for phrase in rules.boilerplate:
         known = known | low.contains(phrase)
@@ -162,7 +162,7 @@ lf AS (SELECT r, line, len(ws) AS n,
    (len(ws) >= 3 AND len(list_filter(ws, lambda x: x IN ({_SEPARATORS}))) >= {_R.most_separators} * len(ws))
    OR length(line) - length(translate(line, '{SYMBOLS}', '')) > {_R.most_symbols} * len(ws)
    OR (len(ws) >= 3 AND length(line) - length(translate(line, '!?', '')) > greatest(1.0, {_R.most_shouts} * len(ws)))
-   OR (len(ws) > {_R.unpunctuated_words} AND NOT regexp_matches(line, '[.!?:;,…。！？]["''”’»)\]]*[\x20\x09-\x0D]*\z'))
+   OR (len(ws) > {_R.unpunctuated_words} AND NOT regexp_matches(line, '{_R.sentence}'))
    OR (len(ws) <= 30 AND len(list_filter([{_PHRASES}], lambda x: contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), x))) > 0) AS bad
    FROM lw WHERE len(ws) > 0),
 ls AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup, coalesce(sum(n) FILTER (WHERE bad), 0) AS lost FROM lf GROUP BY r),

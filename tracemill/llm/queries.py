@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, quality_rules, sharding, url_filter
+from . import bpe, chat, quality_rules, sharding, url_filter
 
 
 def queries():
     return {
         "op2_quality_rules": quality_rules.op2,
+        "op3_bpe": bpe.op3,
         "op5_chat_format": chat.op5,
         "op7_sharding": sharding.op7,
         "op10_url_filter": url_filter.op10,
