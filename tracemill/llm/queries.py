@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality_rules, sharding, url_filter
+from . import bpe, chat, decontaminate, quality_rules, sharding, url_filter
 
 
 def queries():
     return {
+        "op1_decontaminate": decontaminate.op1,
         "op2_quality_rules": quality_rules.op2,
         "op3_bpe": bpe.op3,
         "op5_chat_format": chat.op5,
@@ -17,6 +18,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_decontaminate": decontaminate.OP1_SQL,
         "op2_quality_rules": quality_rules.OP2_SQL,
         "op5_chat_format": chat.OP5_SQL,
         "op10_url_filter": url_filter.OP10_SQL,

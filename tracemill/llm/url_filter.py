@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, table, written
 
 RULES = (
     ("allow", "org", "/"),
@@ -109,6 +109,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col="page_id", url_col=
     counts = labelled.groupBy("host").agg(
         F.count(F.lit(1)).alias("n_pages"), F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("good")
     )
+    counts = written(counts, "host-counts")  # a row a host, read many times below; the pages are not read again for it
     rep = host_reputation(counts).select("host", "n_pages", (F.col("mean") - z * F.col("sd")).alias("lower"))
     size = counts.agg(F.sum("n_pages").alias("all_pages"))
     rep = rep.crossJoin(F.broadcast(size)).withColumn("hot", F.col("n_pages") * HOT_SHARE >= F.col("all_pages"))
