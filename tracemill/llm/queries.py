@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, quality_rules, sharding, url_filter
+from . import bpe, chat, decontaminate, jaccard_join, quality_rules, sharding, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_quality_rules": quality_rules.op2,
         "op3_bpe": bpe.op3,
         "op5_chat_format": chat.op5,
+        "op6_jaccard_join": jaccard_join.op6,
         "op7_sharding": sharding.op7,
         "op10_url_filter": url_filter.op10,
     }
