@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import map_arrow, table
 
 #: Bytes of a piece that are merged directly.
 LEAF = 24
@@ -146,7 +146,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col="text", out_
 
     from pyspark.sql.types import ArrayType, IntegerType
 
-    return docs.mapInArrow(run, docs.schema.add(out_col, ArrayType(IntegerType())))
+    return map_arrow(docs, run, docs.schema.add(out_col, ArrayType(IntegerType())))
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col="token_ids", out_col="decoded") -> DataFrame:
@@ -163,7 +163,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col="token_ids
 
     from pyspark.sql.types import BinaryType
 
-    return encoded.mapInArrow(run, encoded.schema.add(out_col, BinaryType()))
+    return map_arrow(encoded, run, encoded.schema.add(out_col, BinaryType()))
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], text_col="text") -> DataFrame:
@@ -185,7 +185,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], tex
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=names)
 
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def multilingual() -> tuple[str, str]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +64,25 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
         have.add(n.lower())
         out.append(n)
     return out
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application: they need no copy of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        at = Path(tempfile.mkdtemp(prefix="tracemill-code-")) / "tracemill-code.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(at))
+        _SHIPPED.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import fresh_names, table
+from .common import fresh_names, map_arrow, table
 from .fm_index import FMIndex
 
 WIDTH = 10
@@ -170,7 +170,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col=
                     [*batch.columns[:have], *(pa.array(c, t) for c, t in zip(cols, out_types, strict=True))], names=[*batch.schema.names[:have], *names]
                 )
 
-        out = out.mapInArrow(run, schema)
+        out = map_arrow(out, run, schema)
     return out
 
 
@@ -202,7 +202,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col="text") -> Data
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:keep])
 
-    return found.mapInArrow(run, docs.schema)
+    return map_arrow(found, run, docs.schema)
 
 
 def op1(spark, sf_dir):

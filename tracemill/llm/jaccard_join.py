@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import map_arrow, table, written
 from .components import components
 from .shingles import Shingler
 
@@ -62,7 +62,7 @@ def common_counters(docs: DataFrame, width: int) -> np.ndarray:
         high = high[np.argsort(-seen[high], kind="stable")[:MOST_COMMON]]
         yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(seen[high].astype(np.int64))], names=["counter", "n"])
 
-    high = docs.select("text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    high = map_arrow(docs.select("text"), run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     top = high.orderBy(F.desc("n"), "counter").limit(MOST_COMMON).select("counter").collect()
     flags = np.zeros(COUNTERS, bool)
     flags[[r.counter for r in top]] = True
@@ -93,7 +93,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int, t: int) -> DataFra
                 names=["id", "n", "sig", "psig", "prefix"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, sig binary, psig binary, prefix array<long>")
+    return map_arrow(docs.select("id", "text"), run, "id long, n long, sig binary, psig binary, prefix array<long>")
 
 
 def _lists(batches, columns: int):
@@ -130,7 +130,7 @@ def shared(postings: DataFrame) -> DataFrame:
             keep = np.repeat(np.diff(b) > 1, np.diff(b))
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["shingle", "n", "gid"])
 
-    return _sorted_by_shingle(postings.select("shingle", "n", "gid")).mapInArrow(run, "shingle long, n long, gid long")
+    return map_arrow(_sorted_by_shingle(postings.select("shingle", "n", "gid")), run, "shingle long, n long, gid long")
 
 
 def _counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.RecordBatch:
@@ -166,7 +166,7 @@ def linear_pairs(postings: DataFrame, t: int) -> DataFrame:
             key = np.unique(np.stack([x[fits], y[fits]]), axis=1) if fits.any() else np.zeros((2, 0), np.int64)
             yield _counted(gid[key[0]], gid[key[1]], n[key[0]], n[key[1]])
 
-    return _sorted_by_shingle(postings).mapInArrow(run, _PAIRS)
+    return map_arrow(_sorted_by_shingle(postings), run, _PAIRS)
 
 
 def remaining_pairs(postings: DataFrame, t: int) -> DataFrame:
@@ -200,7 +200,7 @@ def remaining_pairs(postings: DataFrame, t: int) -> DataFrame:
                 x, y = np.concatenate(xs), np.concatenate(ys)
                 yield _counted(gid[x], gid[y], n[x], n[y])
 
-    return _sorted_by_shingle(postings).mapInArrow(run, _PAIRS)
+    return map_arrow(_sorted_by_shingle(postings), run, _PAIRS)
 
 
 def _enough(t: int):
@@ -229,7 +229,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, t: int) -> DataFrame
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["id", "set"])
 
-    sets = written(docs.select("id", "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, set array<long>"), "sets")
+    sets = written(map_arrow(docs.select("id", "text").join(ids, "id", "left_semi"), run, "id long, set array<long>"), "sets")
     a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     links = pairs.join(a, "a").join(b, "b").where(100 * both >= t * (F.size("sa") + F.size("sb") - both))

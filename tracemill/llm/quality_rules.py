@@ -19,10 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh_names, table
+from .common import fresh_names, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+SEPARATORS = "|>"
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ class LineRules:
     most_repeated_percent: int = 50
     #: A line with more words than this has sentence punctuation or is no prose.
     unpunctuated_words: int = 12
-    #: Stand-alone separators between words, as menus and tables have them.
+    #: Separators a word, as menus and tables have them.
     most_separators: float = 0.2
     most_symbols: float = 0.3
     most_shouts: float = 0.3
@@ -61,7 +62,16 @@ def words_of(text: Column) -> Column:
 
 
 def count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """How many of the ASCII chars the text has. replace() runs over bytes; translate() looks up every character."""
+    rest = text
+    for c in chars:
+        rest = F.replace(rest, F.lit(c))
+    return F.octet_length(text) - F.octet_length(rest)
+
+
+def word_count(line: Column) -> Column:
+    """Of a line that has a word."""
+    return F.size(F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), SPACE))
 
 
 def repeated_words(words: Column) -> Column:
@@ -91,18 +101,17 @@ def repeated_words(words: Column) -> Column:
     return covered
 
 
-def line_fails(line: Column, words: Column, rules: LineRules) -> Column:
-    n = F.size(words)
-    low = ascii_lower(line)
-    separators = F.size(F.filter(words, lambda w: w.isin("|", "»", "›", ">", "•", "·", "-", "/", "::")))
-    menu = (n >= 3) & (separators >= rules.most_separators * n)
+def line_fails(line: Column, n: Column, rules: LineRules) -> Column:
+    """n: the line's words. Tests stand in the order of their cost."""
+    bare = (n > rules.unpunctuated_words) & ~line.rlike(rules.sentence)
+    menu = (n >= 3) & (count_of(line, SEPARATORS) >= rules.most_separators * n)
     symbols = count_of(line, SYMBOLS) > rules.most_symbols * n
     shouts = (n >= 3) & (count_of(line, "!?") > F.greatest(F.lit(1.0), rules.most_shouts * n))
-    bare = (n > rules.unpunctuated_words) & ~line.rlike(rules.sentence)
+    low = F.lower(line)
     known = F.lit(False)
     for phrase in rules.boilerplate:
         known = known | low.contains(phrase)
-    return menu | symbols | shouts | bare | (known & (n <= 30))
+    return bare | menu | symbols | shouts | ((n <= 30) & known)
 
 
 def judged(docs: DataFrame, text_col="text", rules: LineRules = LineRules()) -> tuple[DataFrame, dict[str, str]]:
@@ -113,7 +122,7 @@ def judged(docs: DataFrame, text_col="text", rules: LineRules = LineRules()) ->
     out = docs.withColumns(
         {
             names["words"]: words_of(text),
-            names["lines"]: F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(x.alias("line"), words_of(x).alias("words"))),
+            names["lines"]: F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(x.alias("line"), word_count(x).alias("n"))),
         }
     )
     out = out.withColumns(
@@ -123,12 +132,12 @@ def judged(docs: DataFrame, text_col="text", rules: LineRules = LineRules()) ->
             names["n_symbols"]: count_of(text, SYMBOLS).cast("long"),
             names["n_dup_lines"]: (F.size(c["lines"]) - F.size(F.array_distinct(F.transform(c["lines"], lambda x: x["line"])))).cast("long"),
             names["n_repeat_words"]: repeated_words(c["words"]).cast("long"),
-            names["bad_lines"]: F.filter(c["lines"], lambda x: line_fails(x["line"], x["words"], rules)),
+            names["bad_lines"]: F.filter(c["lines"], lambda x: line_fails(x["line"], x["n"], rules)),
         }
     )
     out = out.withColumns(
         {
-            names["n_lost_words"]: F.aggregate(c["bad_lines"], F.lit(0).cast("long"), lambda a, x: a + F.size(x["words"])),
+            names["n_lost_words"]: F.aggregate(c["bad_lines"], F.lit(0).cast("long"), lambda a, x: a + x["n"]),
             names["base_failed"]: (c["n_words"] < rules.min_words) | (100 * c["n_repeat_words"] > rules.most_repeated_percent * c["n_words"]),
         }
     )
@@ -139,7 +148,7 @@ def judged(docs: DataFrame, text_col="text", rules: LineRules = LineRules()) ->
 def clean_lines(docs: DataFrame, text_col="text", rules: LineRules = LineRules()) -> DataFrame:
     """The kept documents, their failing lines removed; columns as in docs."""
     out, names = judged(docs, text_col, rules)
-    good = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x: ~line_fails(x, words_of(x), rules))
+    good = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x, word_count(x), rules)))
     return out.where(F.col(f"`{names['kept']}`")).withColumn(text_col, F.array_join(good, "\n")).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
@@ -149,7 +158,6 @@ def op2(spark, sf_dir):
 
 
 _R = LineRules()
-_SEPARATORS = "'|', '»', '›', '>', '•', '·', '-', '/', '::'"
 _PHRASES = ", ".join(f"'{x}'" for x in _R.boilerplate)
 OP2_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -159,11 +167,11 @@ rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
 lf AS (SELECT r, line, len(ws) AS n,
-   (len(ws) >= 3 AND len(list_filter(ws, lambda x: x IN ({_SEPARATORS}))) >= {_R.most_separators} * len(ws))
+   (len(ws) >= 3 AND length(line) - length(translate(line, '{SEPARATORS}', '')) >= {_R.most_separators} * len(ws))
    OR length(line) - length(translate(line, '{SYMBOLS}', '')) > {_R.most_symbols} * len(ws)
    OR (len(ws) >= 3 AND length(line) - length(translate(line, '!?', '')) > greatest(1.0, {_R.most_shouts} * len(ws)))
    OR (len(ws) > {_R.unpunctuated_words} AND NOT regexp_matches(line, '{_R.sentence}'))
-   OR (len(ws) <= 30 AND len(list_filter([{_PHRASES}], lambda x: contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), x))) > 0) AS bad
+   OR (len(ws) <= 30 AND len(list_filter([{_PHRASES}], lambda x: contains(lower(line), x))) > 0) AS bad
    FROM lw WHERE len(ws) > 0),
 ls AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup, coalesce(sum(n) FILTER (WHERE bad), 0) AS lost FROM lf GROUP BY r),
 f AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(words, '')), 0) AS BIGINT) AS word_chars,
