@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, jaccard_join, quality_rules, sharding, url_filter
+from . import bpe, chat, decontaminate, jaccard_join, quality_rules, sharding, suffix_dedup, url_filter
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_decontaminate": decontaminate.op1,
         "op2_quality_rules": quality_rules.op2,
         "op3_bpe": bpe.op3,
+        "op4_suffix_dedup": suffix_dedup.op4,
         "op5_chat_format": chat.op5,
         "op6_jaccard_join": jaccard_join.op6,
         "op7_sharding": sharding.op7,
