@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from .common import map_arrow, table
 
@@ -144,9 +145,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col="text", out_
                 ids = pa.array([c.encode(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out_col])
 
-    from pyspark.sql.types import ArrayType, IntegerType
-
-    return map_arrow(docs, run, docs.schema.add(out_col, ArrayType(IntegerType())))
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(out_col, ArrayType(IntegerType()))]))
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col="token_ids", out_col="decoded") -> DataFrame:
@@ -161,9 +160,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col="token_ids
                 out = pa.array([c.decode(x or ()) for x in batch.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, out_col])
 
-    from pyspark.sql.types import BinaryType
-
-    return map_arrow(encoded, run, encoded.schema.add(out_col, BinaryType()))
+    return map_arrow(encoded, run, StructType([*encoded.schema.fields, StructField(out_col, BinaryType())]))
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], text_col="text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, jaccard_join, quality_rules, sharding, suffix_dedup, url_filter
+from . import bpe, chat, decontaminate, jaccard_join, quality_model, quality_rules, sharding, suffix_dedup, toxicity, url_filter
 
 
 def queries():
@@ -14,6 +14,8 @@ def queries():
         "op5_chat_format": chat.op5,
         "op6_jaccard_join": jaccard_join.op6,
         "op7_sharding": sharding.op7,
+        "op8_toxicity": toxicity.op8,
+        "op9_quality_model": quality_model.op9,
         "op10_url_filter": url_filter.op10,
     }
 
