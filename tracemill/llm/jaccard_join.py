@@ -10,10 +10,10 @@ comes from counters over all documents, and errs at no cost but time.
 3. Group pairs are filtered by size and by the number of prefix shingles they share.
 4. Pairs that pass are expanded to variants and verified on whole sets.
 
-Steps 3 and 4 run twice. The first time each posting list offers only linear many pairs (everyone with
-the smallest of about its size, and with the next one). What those link is contracted to components, and
-the second time all pairs of a list count but those within one component: a list of thousands of near
-copies is then mostly one component and offers nothing more. No link between components is lost.
+Before that, a quick first look links most near copies: each variant is verified against a few pivots, one
+for each of its BANDS smallest hashes. What that links is contracted to components, and a posting list
+then offers all its pairs but those within one component: a list of thousands of near copies is mostly
+one component by then and offers little. No link between components is lost.
 
 Defined results: null, empty and wordless texts have empty sets and link with nothing, not even with
 each other; fewer words than ``width`` make one shingle; rows with the same id are one node; a null id
@@ -34,10 +34,14 @@ from .components import components
 from .shingles import Shingler
 
 #: Counters of the sketch that tells common shingles, and how many of them may be called common.
-COUNTERS, MOST_COMMON = 1 << 22, 1 << 16
+COUNTERS, MOST_COMMON = 1 << 24, 1 << 18
 #: Ids that are broadcast to pick texts; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 NULL_ID = -(1 << 63)
+#: Pivots a variant is compared with at first.
+BANDS = 6
+#: Rows handled at a time.
+SLICE = 1000
 
 
 def prefix_length(n, t: int):
@@ -52,31 +56,41 @@ def common_counters(docs: DataFrame, width: int) -> np.ndarray:
     """
 
     def run(batches):
-        s, seen, n = Shingler(width), np.zeros(COUNTERS, np.int32), 0
+        s, seen, texts = Shingler(width), np.zeros(COUNTERS, np.int32), set()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = s.set_of(text)
-                n += 1
-                np.add.at(seen, (h & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        high = np.flatnonzero(seen >= max(12, n // 1000, 4 * int(seen.mean() + 1)))
+            for i in range(0, batch.num_rows, SLICE):
+                for text in batch.column(0).slice(i, SLICE).to_pylist():
+                    mark = hash(text)
+                    if text and mark not in texts:  # copies say nothing about a shingle
+                        if len(texts) < 1_000_000:
+                            texts.add(mark)
+                        h = s.set_of(text)
+                        seen[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
+        high = np.flatnonzero(seen >= max(4, 4 * int(seen.mean() + 1)))
         high = high[np.argsort(-seen[high], kind="stable")[:MOST_COMMON]]
         yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(seen[high].astype(np.int64))], names=["counter", "n"])
 
-    high = map_arrow(docs.select("text"), run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    # Few partitions, of many documents each: two for a core.
+    merged = docs.select("text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    high = map_arrow(merged, run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     top = high.orderBy(F.desc("n"), "counter").limit(MOST_COMMON).select("counter").collect()
     flags = np.zeros(COUNTERS, bool)
-    flags[[r.counter for r in top]] = True
+    flags[np.array([r.counter for r in top], np.int64)] = True
     return flags
 
 
 def prefixes(docs: DataFrame, common: np.ndarray, width: int, t: int) -> DataFrame:
-    """id, n, sig, psig, prefix array<long> of each document; empty sets have an empty prefix."""
+    """id, n, sig, psig, prefix, last, mins of each document; empty sets have an empty prefix.
+
+    last: the place of the prefix's end in the order, as a number; mins: the smallest hash of each of
+    BANDS classes of hashes.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
 
     def run(batches):
-        s, common = Shingler(width), np.unpackbits(sent.value).astype(bool)
-        for batch in batches:
-            n, sig, psig, prefix = [], [], [], []
+        s, common = Shingler(width), np.unpackbits(sent.value).view(bool)
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+            n, sig, psig, prefix, last, mins = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = s.set_of(text)
                 late = common[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
@@ -86,17 +100,20 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int, t: int) -> DataFra
                 sig.append(xxhash.xxh3_128_digest(h.tobytes()))
                 psig.append(xxhash.xxh3_128_digest(first.tobytes(), seed=len(h)))
                 prefix.append(first.view(np.int64))
+                last.append(float(late.sum() + p > len(h)) + float(first[-1]) / 2.0**64 if p else 0.0)
+                band = h % np.uint64(BANDS)
+                mins.append([int(h[np.argmax(band == b)].view(np.int64)) for b in range(BANDS) if (band == b).any()])
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(psig, pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
-                names=["id", "n", "sig", "psig", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(psig, pa.binary()), pa.ListArray.from_arrays(offsets, flat), pa.array(last, pa.float64()), pa.array(mins, pa.list_(pa.int64()))],
+                names=["id", "n", "sig", "psig", "prefix", "last", "mins"],
             )
 
-    return map_arrow(docs.select("id", "text"), run, "id long, n long, sig binary, psig binary, prefix array<long>")
+    return map_arrow(docs.select("id", "text"), run, "id long, n long, sig binary, psig binary, prefix array<long>, last double, mins array<long>")
 
 
-def _lists(batches, columns: int):
+def _lists(batches):
     """Posting lists of a partition sorted by shingle: numpy columns of whole lists, many at a time."""
     left = None
     for batch in batches:
@@ -125,7 +142,7 @@ def shared(postings: DataFrame) -> DataFrame:
     """The postings of lists with two groups or more."""
 
     def run(batches):
-        for cols in _lists(batches, 3):
+        for cols in _lists(batches):
             b = _bounds(cols[0])
             keep = np.repeat(np.diff(b) > 1, np.diff(b))
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["shingle", "n", "gid"])
@@ -133,50 +150,52 @@ def shared(postings: DataFrame) -> DataFrame:
     return map_arrow(_sorted_by_shingle(postings.select("shingle", "n", "gid")), run, "shingle long, n long, gid long")
 
 
-def _counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.RecordBatch:
-    swap = a > b
-    a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
-    order = np.lexsort((b, a))
-    a, b, na, nb = a[order], b[order], na[order], nb[order]
-    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    c = np.diff(np.concatenate([at, [len(a)]])) if len(a) else at
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a[at], b[at], na[at], nb[at], c)], names=["ga", "gb", "na", "nb", "c"])
+def _counted(x: np.ndarray, y: np.ndarray, n, gid, last, t: int) -> pa.RecordBatch:
+    """Each pair of postings' groups with how often it is there, and how often it must be.
 
+    Shingles shared at or below the lower one of the two prefixes' ends are all counted; the rest is at
+    most what the set with that end has beyond its prefix.
+    """
+    swap = gid[x] > gid[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    order = np.lexsort((gid[y], gid[x]))
+    x, y = x[order], y[order]
+    a, b = gid[x], gid[y]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    c = np.diff(np.concatenate([at, [len(a)]]))
+    x, y = x[at], y[at]
+    beyond = lambda k: k - prefix_length(k, t)
+    rest = np.where(last[x] < last[y], beyond(n[x]), np.where(last[x] > last[y], beyond(n[y]), np.maximum(beyond(n[x]), beyond(n[y]))))
+    need = -(-t * (n[x] + n[y]) // (100 + t)) - rest
+    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (gid[x], gid[y], need, c)], names=["ga", "gb", "need", "c"])
 
-_PAIRS = "ga long, gb long, na long, nb long, c long"
-_FLUSH = 2_000_000
 
+_PAIRS = "ga long, gb long, need long, c long"
+_FLUSH = 300_000
 
-def linear_pairs(postings: DataFrame, t: int) -> DataFrame:
-    """From each list: everyone with the first of about its size, and with the next one."""
 
-    def run(batches):
-        for shingle, n, gid in _lists(batches, 3):
-            b = _bounds(shingle)
-            # One after the other in size order; then each with the smallest that is large enough.
-            i = np.flatnonzero(shingle[1:] == shingle[:-1])
-            head = np.repeat(b[:-1], np.diff(b))
-            for lo, hi in zip(b[:-1].tolist(), b[1:].tolist(), strict=True):
-                if hi - lo > 2:
-                    head[lo:hi] = lo + np.searchsorted(n[lo:hi], -(-t * n[lo:hi] // 100))
-            j = np.flatnonzero(head != np.arange(len(n)))
-            x, y = np.concatenate([i, head[j]]), np.concatenate([i + 1, j])
-            fits = (100 * n[x] >= t * n[y]) & (gid[x] != gid[y])
-            # A pair that is both is one.
-            key = np.unique(np.stack([x[fits], y[fits]]), axis=1) if fits.any() else np.zeros((2, 0), np.int64)
-            yield _counted(gid[key[0]], gid[key[1]], n[key[0]], n[key[1]])
+def pivot_pairs(variants: DataFrame, central: DataFrame, t: int) -> DataFrame:
+    """(a, b): each variant with two pivots of each band it is in; linear many, whatever variants share.
 
-    return map_arrow(_sorted_by_shingle(postings), run, _PAIRS)
+    One pivot is the most central variant, that with the most shared prefix shingles for its size: of
+    many near copies the one that differs least from all. The other is drawn by hash.
+    """
+    rows = variants.join(central, "vid", "left").select("vid", "n", (F.coalesce("shared", F.lit(0)) / F.col("n")).alias("share"), F.explode("mins").alias("band"))
+    first = lambda *by: F.min(F.struct(*by, "vid", "n"))
+    pivots = rows.groupBy("band").agg(first((-F.col("share")).alias("x")).alias("p"), first(F.xxhash64("vid", "band").alias("x")).alias("q"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    pairs = rows.join(pivots, "band").select("vid", "n", F.explode(F.array(F.struct("p.vid", "p.n"), F.struct("q.vid", "q.n"))).alias("pivot"))
+    pairs = pairs.where(f"vid <> pivot.vid AND 100 * least(n, pivot.n) >= {t} * greatest(n, pivot.n)")
+    return pairs.select(F.least("vid", "pivot.vid").alias("a"), F.greatest("vid", "pivot.vid").alias("b"))
 
 
 def remaining_pairs(postings: DataFrame, t: int) -> DataFrame:
     """From each list: all pairs of fitting sizes that are not known to be in one component.
 
-    postings also have comp: the group's component, or null where its variants are in several.
+    postings also have comp, the group's component (NULL_ID where its variants are in several), and last.
     """
 
     def run(batches):
-        for shingle, n, gid, comp in _lists(batches, 4):
+        for shingle, n, gid, comp, last in _lists(batches):
             b = _bounds(shingle)
             lone = comp == NULL_ID
             xs, ys, held = [], [], 0
@@ -194,26 +213,15 @@ def remaining_pairs(postings: DataFrame, t: int) -> DataFrame:
                         held += len(r)
                     if held > _FLUSH:
                         x, y = np.concatenate(xs), np.concatenate(ys)
-                        yield _counted(gid[x], gid[y], n[x], n[y])
+                        yield _counted(x, y, n, gid, last, t)
                         xs, ys, held = [], [], 0
             if held:
                 x, y = np.concatenate(xs), np.concatenate(ys)
-                yield _counted(gid[x], gid[y], n[x], n[y])
+                yield _counted(x, y, n, gid, last, t)
 
     return map_arrow(_sorted_by_shingle(postings), run, _PAIRS)
 
 
-def _enough(t: int):
-    """Whether c shared prefix shingles leave room for the overlap that a link needs.
-
-    Shingles shared at or below the lower one of the two prefixes' ends are all counted in c; the rest is
-    at most what the set with that end has beyond its prefix.
-    """
-    rest = lambda n: F.col(n) - (F.col(n) - F.ceil(F.col(n) * t / 100) + 1)
-    need = F.ceil((F.col("na") + F.col("nb")) * t / (100.0 + t) - 1e-9)
-    return F.col("c") + F.greatest(rest("na"), rest("nb")) >= need
-
-
 def verified(pairs: DataFrame, docs: DataFrame, width: int, t: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole sets are similar enough."""
     pairs = written(pairs.select("a", "b").distinct(), "candidates")
@@ -223,7 +231,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, t: int) -> DataFrame
 
     def run(batches):
         s = Shingler(width)
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             sets = [s.set_of(x).view(np.int64) for x in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
@@ -242,26 +250,27 @@ def link_documents(docs: DataFrame, id_col="doc_id", text_col="text", width=5, t
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     sets = written(prefixes(docs, common_counters(docs, width), width, t), "prefixes")
     # A variant has one set; a group has variants of one prefix and size. Each is named by its smallest id.
-    variants = sets.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("vid"), F.min("psig").alias("psig"))
+    some = sets.where("n > 0")
+    variants = some.groupBy("sig", "n").agg(F.min("id").alias("vid"), F.min("psig").alias("psig"), F.min("last").alias("last"), F.min("mins").alias("mins"))
     variants = written(variants, "variants")
     groups = variants.groupBy("psig", "n").agg(F.min("vid").alias("gid"), F.count(F.lit(1)).alias("k"))
-    members = written(variants.join(groups, ["psig", "n"]).select("gid", "vid", "k"), "members")
+    members = written(variants.join(groups, ["psig", "n"]).select("gid", "vid", "k", "last"), "members")
     heads = members.where("gid = vid").select("gid").distinct()
-    postings = sets.where("n > 0").join(heads, sets["id"] == heads["gid"]).select(F.explode("prefix").alias("shingle"), "n", "gid")
+    postings = some.join(heads, some["id"] == heads["gid"]).select(F.explode("prefix").alias("shingle"), "n", "gid")
     postings = written(shared(postings), "postings")
 
-    # Once with linear many pairs.
-    few = linear_pairs(postings, t).groupBy("ga", "gb", "na", "nb").agg(F.sum("c").alias("c")).where(_enough(t))
+    # First each variant with a few pivots.
     inside = members.where("k > 1 AND gid <> vid").select(F.col("gid").alias("a"), F.col("vid").alias("b"))
-    links = verified(few.select(F.col("ga").alias("a"), F.col("gb").alias("b")).unionByName(inside), docs, width, t)
+    central = members.join(postings.groupBy("gid").agg(F.count(F.lit(1)).alias("shared")), "gid").select("vid", "shared")
+    links = verified(pivot_pairs(variants, central, t).unionByName(inside), docs, width, t)
     known = written(components(links), "known")
 
-    # Then with all that are in different components.
-    comp = members.join(known, F.col("vid") == F.col("node"), "left").select("gid", "vid", "k", F.coalesce("component", "vid").alias("comp"))
+    # Then all pairs of posting lists that are in different components.
+    comp = members.join(known, F.col("vid") == F.col("node"), "left").select("gid", "vid", "k", "last", F.coalesce("component", "vid").alias("comp"))
     comp = written(comp, "comp")
-    of = comp.groupBy("gid").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(NULL_ID).alias("comp"))
-    rest = remaining_pairs(postings.join(of, "gid").select("shingle", "n", "gid", "comp"), t)
-    rest = rest.groupBy("ga", "gb", "na", "nb").agg(F.sum("c").alias("c")).where(_enough(t))
+    of = comp.groupBy("gid").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(NULL_ID).alias("comp"), F.min("last").alias("last"))
+    rest = remaining_pairs(postings.join(of, "gid").select("shingle", "n", "gid", "comp", "last"), t)
+    rest = rest.groupBy("ga", "gb", "need").agg(F.sum("c").alias("c")).where("c >= need")
     left = comp.select(F.col("gid").alias("ga"), F.col("vid").alias("a"), F.col("comp").alias("ca"))
     right = comp.select(F.col("gid").alias("gb"), F.col("vid").alias("b"), F.col("comp").alias("cb"))
     across = rest.join(left, "ga").join(right, "gb").where("ca <> cb").select("a", "b")
