@@ -150,12 +150,19 @@ def shared(postings: DataFrame) -> DataFrame:
     return map_arrow(_sorted_by_shingle(postings.select("shingle", "n", "gid")), run, "shingle long, n long, gid long")
 
 
-def _counted(x: np.ndarray, y: np.ndarray, n, gid, last, t: int) -> pa.RecordBatch:
-    """Each pair of postings' groups with how often it is there, and how often it must be.
+def _need(x, y, n: np.ndarray, last: np.ndarray, t: int) -> np.ndarray:
+    """How many prefix shingles the sets of postings x and y must share at least to link.
 
-    Shingles shared at or below the lower one of the two prefixes' ends are all counted; the rest is at
-    most what the set with that end has beyond its prefix.
+    Shingles shared at or below the lower one of the two prefixes' ends are in both prefixes; the rest is
+    at most what the set with that end has beyond its prefix.
     """
+    beyond = lambda k: k - prefix_length(k, t)
+    rest = np.where(last[x] < last[y], beyond(n[x]), np.where(last[x] > last[y], beyond(n[y]), np.maximum(beyond(n[x]), beyond(n[y]))))
+    return -(-t * (n[x] + n[y]) // (100 + t)) - rest
+
+
+def _counted(x: np.ndarray, y: np.ndarray, n, gid, last, t: int) -> pa.RecordBatch:
+    """Each pair of postings' groups with how often it is there, and how often it must be."""
     swap = gid[x] > gid[y]
     x, y = np.where(swap, y, x), np.where(swap, x, y)
     order = np.lexsort((gid[y], gid[x]))
@@ -164,10 +171,7 @@ def _counted(x: np.ndarray, y: np.ndarray, n, gid, last, t: int) -> pa.RecordBat
     at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
     c = np.diff(np.concatenate([at, [len(a)]]))
     x, y = x[at], y[at]
-    beyond = lambda k: k - prefix_length(k, t)
-    rest = np.where(last[x] < last[y], beyond(n[x]), np.where(last[x] > last[y], beyond(n[y]), np.maximum(beyond(n[x]), beyond(n[y]))))
-    need = -(-t * (n[x] + n[y]) // (100 + t)) - rest
-    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (gid[x], gid[y], need, c)], names=["ga", "gb", "need", "c"])
+    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (gid[x], gid[y], _need(x, y, n, last, t), c)], names=["ga", "gb", "need", "c"])
 
 
 _PAIRS = "ga long, gb long, need long, c long"
@@ -191,11 +195,12 @@ def pivot_pairs(variants: DataFrame, central: DataFrame, t: int) -> DataFrame:
 def remaining_pairs(postings: DataFrame, t: int) -> DataFrame:
     """From each list: all pairs of fitting sizes that are not known to be in one component.
 
-    postings also have comp, the group's component (NULL_ID where its variants are in several), and last.
+    postings also have comp, the group's component (NULL_ID where its variants are in several), last, and
+    k, the group's number of postings: a pair that must share more than one of the two has is no pair.
     """
 
     def run(batches):
-        for shingle, n, gid, comp, last in _lists(batches):
+        for shingle, n, gid, comp, last, have in _lists(batches):
             b = _bounds(shingle)
             lone = comp == NULL_ID
             xs, ys, held = [], [], 0
@@ -207,6 +212,8 @@ def remaining_pairs(postings: DataFrame, t: int) -> DataFrame:
                 for k in range(hi - lo - 1):
                     r = np.arange(k + 1, ends[k])
                     r = r[(c[r] != c[k]) | lone[lo + k]] if len(r) else r
+                    if len(r):
+                        r = r[_need(lo + k, lo + r, n, last, t) <= np.minimum(have[lo + k], have[lo + r])]
                     if len(r):
                         xs.append(np.full(len(r), lo + k))
                         ys.append(lo + r)
@@ -261,7 +268,8 @@ def link_documents(docs: DataFrame, id_col="doc_id", text_col="text", width=5, t
 
     # First each variant with a few pivots.
     inside = members.where("k > 1 AND gid <> vid").select(F.col("gid").alias("a"), F.col("vid").alias("b"))
-    central = members.join(postings.groupBy("gid").agg(F.count(F.lit(1)).alias("shared")), "gid").select("vid", "shared")
+    have = written(postings.groupBy("gid").agg(F.count(F.lit(1)).alias("shared")), "posting-counts")
+    central = members.join(have, "gid").select("vid", "shared")
     links = verified(pivot_pairs(variants, central, t).unionByName(inside), docs, width, t)
     known = written(components(links), "known")
 
@@ -269,7 +277,7 @@ def link_documents(docs: DataFrame, id_col="doc_id", text_col="text", width=5, t
     comp = members.join(known, F.col("vid") == F.col("node"), "left").select("gid", "vid", "k", "last", F.coalesce("component", "vid").alias("comp"))
     comp = written(comp, "comp")
     of = comp.groupBy("gid").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(NULL_ID).alias("comp"), F.min("last").alias("last"))
-    rest = remaining_pairs(postings.join(of, "gid").select("shingle", "n", "gid", "comp", "last"), t)
+    rest = remaining_pairs(postings.join(of.join(have, "gid"), "gid").select("shingle", "n", "gid", "comp", "last", "shared"), t)
     rest = rest.groupBy("ga", "gb", "need").agg(F.sum("c").alias("c")).where("c >= need")
     left = comp.select(F.col("gid").alias("ga"), F.col("vid").alias("a"), F.col("comp").alias("ca"))
     right = comp.select(F.col("gid").alias("gb"), F.col("vid").alias("b"), F.col("comp").alias("cb"))
@@ -285,5 +293,17 @@ def link_documents(docs: DataFrame, id_col="doc_id", text_col="text", width=5, t
     return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("label", "id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", width=5, threshold=80) -> DataFrame:
+    """docs without those that a smaller id's document is linked to; columns as in docs.
+
+    Rows that go are picked by id: in a broadcast while their number is bounded, else by shuffle.
+    """
+    out = link_documents(docs.select(id_col, text_col), id_col, text_col, width, threshold)
+    gone = written(out.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
 def op6(spark, sf_dir):
     return link_documents(table(spark, sf_dir, "documents"))

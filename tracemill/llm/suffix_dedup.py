@@ -331,11 +331,14 @@ _OUT = ["n_bytes", "n_removed", "n_spans", "kept"]
 
 
 def drop_repeats(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH) -> DataFrame:
-    """docs with the repeats cut out of the text; a character cut in half goes as a whole."""
+    """docs with the repeats cut out of the text.
+
+    Spans begin and end at bytes: what is left of a character goes too, and with it any replacement
+    character of a text that is cut. A null text becomes empty.
+    """
     names = fresh_names(docs, *_OUT)
     out = remove_repeats(docs, id_col, text_col, width, names=tuple(names))
-    # Spans begin and end at bytes; what is left of a character is dropped.
-    text = F.regexp_replace(F.decode(F.col(f"`{names[3]}`"), "UTF-8"), "�", "")
+    text = F.replace(F.make_valid_utf8(F.col(f"`{names[3]}`").cast("string")), F.lit("\ufffd"), F.lit(""))
     text = F.when(F.col(f"`{names[1]}`") > 0, text).otherwise(F.col(f"`{names[3]}`").cast("string"))
     return out.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
