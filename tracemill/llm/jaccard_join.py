@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, table, written
@@ -161,20 +161,18 @@ def _need(x, y, n: np.ndarray, last: np.ndarray, t: int) -> np.ndarray:
     return -(-t * (n[x] + n[y]) // (100 + t)) - rest
 
 
-def _counted(x: np.ndarray, y: np.ndarray, n, gid, last, t: int) -> pa.RecordBatch:
-    """Each pair of postings' groups with how often it is there, and how often it must be."""
+def _distinct(x: np.ndarray, y: np.ndarray, n, gid, last, t: int) -> pa.RecordBatch:
+    """Each pair of postings' groups once, with how many shingles it must share."""
     swap = gid[x] > gid[y]
     x, y = np.where(swap, y, x), np.where(swap, x, y)
     order = np.lexsort((gid[y], gid[x]))
     x, y = x[order], y[order]
-    a, b = gid[x], gid[y]
-    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    c = np.diff(np.concatenate([at, [len(a)]]))
-    x, y = x[at], y[at]
-    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (gid[x], gid[y], _need(x, y, n, last, t), c)], names=["ga", "gb", "need", "c"])
+    new = np.concatenate([[True], (gid[x][1:] != gid[x][:-1]) | (gid[y][1:] != gid[y][:-1])])
+    x, y = x[new], y[new]
+    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (gid[x], gid[y], _need(x, y, n, last, t))], names=["ga", "gb", "need"])
 
 
-_PAIRS = "ga long, gb long, need long, c long"
+_PAIRS = "ga long, gb long, need long"
 _FLUSH = 300_000
 
 
@@ -195,12 +193,15 @@ def pivot_pairs(variants: DataFrame, central: DataFrame, t: int) -> DataFrame:
 def remaining_pairs(postings: DataFrame, t: int) -> DataFrame:
     """From each list: all pairs of fitting sizes that are not known to be in one component.
 
-    postings also have comp, the group's component (NULL_ID where its variants are in several), last, and
-    k, the group's number of postings: a pair that must share more than one of the two has is no pair.
+    postings also have comp, the group's component (NULL_ID where its variants are in several), last, the
+    number of the group's postings, the posting's place among them, and two words with a bit for each of
+    the group's postings. Two groups that must share `need` of their postings share one of the first
+    (number - need + 1) of each; and every bit of one that the other lacks is a posting they don't share.
     """
 
     def run(batches):
-        for shingle, n, gid, comp, last, have in _lists(batches):
+        for shingle, n, gid, comp, last, have, place, b0, b1 in _lists(batches):
+            b0, b1 = b0.view(np.uint64), b1.view(np.uint64)  # bits of signed numbers are counted without the sign
             b = _bounds(shingle)
             lone = comp == NULL_ID
             xs, ys, held = [], [], 0
@@ -213,18 +214,23 @@ def remaining_pairs(postings: DataFrame, t: int) -> DataFrame:
                     r = np.arange(k + 1, ends[k])
                     r = r[(c[r] != c[k]) | lone[lo + k]] if len(r) else r
                     if len(r):
-                        r = r[_need(lo + k, lo + r, n, last, t) <= np.minimum(have[lo + k], have[lo + r])]
+                        x, y = lo + k, lo + r
+                        need, bits = _need(x, y, n, last, t), np.bitwise_count
+                        fits = (place[x] <= have[x] - need) & (place[y] <= have[y] - need)
+                        fits &= need <= have[x] - bits(b0[x] & ~b0[y]).astype(np.int64) - bits(b1[x] & ~b1[y])
+                        fits &= need <= have[y] - bits(b0[y] & ~b0[x]).astype(np.int64) - bits(b1[y] & ~b1[x])
+                        r = r[fits]
                     if len(r):
                         xs.append(np.full(len(r), lo + k))
                         ys.append(lo + r)
                         held += len(r)
                     if held > _FLUSH:
                         x, y = np.concatenate(xs), np.concatenate(ys)
-                        yield _counted(x, y, n, gid, last, t)
+                        yield _distinct(x, y, n, gid, last, t)
                         xs, ys, held = [], [], 0
             if held:
                 x, y = np.concatenate(xs), np.concatenate(ys)
-                yield _counted(x, y, n, gid, last, t)
+                yield _distinct(x, y, n, gid, last, t)
 
     return map_arrow(_sorted_by_shingle(postings), run, _PAIRS)
 
@@ -268,7 +274,9 @@ def link_documents(docs: DataFrame, id_col="doc_id", text_col="text", width=5, t
 
     # First each variant with a few pivots.
     inside = members.where("k > 1 AND gid <> vid").select(F.col("gid").alias("a"), F.col("vid").alias("b"))
-    have = written(postings.groupBy("gid").agg(F.count(F.lit(1)).alias("shared")), "posting-counts")
+    bit = lambda k: F.bit_or(F.when(F.col("shingle").bitwiseAND(F.lit(64)) == 64 * k, F.expr("shiftleft(1L, cast(shingle & 63 AS INT))")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}")
+    have = postings.groupBy("gid").agg(F.count(F.lit(1)).alias("shared"), bit(0), bit(1), F.collect_list("shingle").alias("shingles"))  # a prefix at most
+    have = written(have, "posting-lists")
     central = members.join(have, "gid").select("vid", "shared")
     links = verified(pivot_pairs(variants, central, t).unionByName(inside), docs, width, t)
     known = written(components(links), "known")
@@ -277,8 +285,11 @@ def link_documents(docs: DataFrame, id_col="doc_id", text_col="text", width=5, t
     comp = members.join(known, F.col("vid") == F.col("node"), "left").select("gid", "vid", "k", "last", F.coalesce("component", "vid").alias("comp"))
     comp = written(comp, "comp")
     of = comp.groupBy("gid").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(NULL_ID).alias("comp"), F.min("last").alias("last"))
-    rest = remaining_pairs(postings.join(of.join(have, "gid"), "gid").select("shingle", "n", "gid", "comp", "last", "shared"), t)
-    rest = rest.groupBy("ga", "gb", "need").agg(F.sum("c").alias("c")).where("c >= need")
+    placed = postings.withColumn("place", F.row_number().over(Window.partitionBy("gid").orderBy("shingle")) - 1)
+    placed = placed.join(of.join(have.drop("shingles"), "gid"), "gid")
+    rest = written(remaining_pairs(placed.select("shingle", "n", "gid", "comp", "last", "shared", "place", "b0", "b1"), t).distinct(), "group-pairs")
+    lists = lambda g, s: have.select(F.col("gid").alias(g), F.col("shingles").alias(s))
+    rest = rest.join(lists("ga", "sa"), "ga").join(lists("gb", "sb"), "gb").where(F.size(F.array_intersect("sa", "sb")) >= F.col("need")).select("ga", "gb")
     left = comp.select(F.col("gid").alias("ga"), F.col("vid").alias("a"), F.col("comp").alias("ca"))
     right = comp.select(F.col("gid").alias("gb"), F.col("vid").alias("b"), F.col("comp").alias("cb"))
     across = rest.join(left, "ga").join(right, "gb").where("ca <> cb").select("a", "b")
