@@ -59,7 +59,7 @@ def _(t):
     return df.orderBy("o_orderkey").limit(5).select("o_orderkey", "o_orderstatus")
 
 
-LOGS_SQL = "SELECT event_id AS id, epoch(ts)::BIGINT AS ts, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO' ELSE 'DEBUG' END AS level, 'mod::' || event_type AS module, 'src/' || (user_id % 5) || '.rs' AS file, CASE WHEN user_id % 10 = 0 THEN NULL ELSE 't' || user_id END AS thread_id, props AS body FROM events"
+LOGS_SQL = "SELECT event_id AS id, (epoch_us(ts) // 1000000) AS ts, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO' ELSE 'DEBUG' END AS level, 'mod::' || event_type AS module, 'src/' || (user_id % 5) || '.rs' AS file, CASE WHEN user_id % 10 = 0 THEN NULL ELSE 't' || user_id END AS thread_id, props AS body FROM events"
 
 
 def logs(t):
