@@ -31,7 +31,7 @@ from .common import map_arrow, table
 #: Bytes of a piece that are merged directly.
 LEAF = 24
 #: Entries a cache may have before it is emptied.
-CACHE = 400_000
+CACHE = 150_000
 #: Texts of an Arrow batch encoded at a time.
 SLICE = 256
 
@@ -119,6 +119,11 @@ class Codec:
             ids.extend(got)
         return ids
 
+    def forget(self) -> None:
+        """Empties the caches: workers live on after a task."""
+        self._pieces.clear()
+        self._pairs.clear()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -180,6 +185,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], tex
                     a.append(hashlib.sha256(ids.tobytes()).hexdigest())
                     b.append(hashlib.sha256(c.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=names)
+        c.forget()
 
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     return map_arrow(docs, run, schema)

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import scratch, ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -18,15 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; one of our own only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = os.environ.setdefault("TRACEMILL_SCRATCH", tempfile.mkdtemp(prefix="tracemill-"))
-        at = f"file://{at}"
-    return at.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it again.
 
@@ -34,7 +21,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     that could come out in another order.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracemill-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracemill_path = path
@@ -66,22 +53,6 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once an application: they need no copy of their own."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        root = Path(__file__).resolve().parents[1]
-        at = Path(tempfile.mkdtemp(prefix="tracemill-code-")) / "tracemill-code.zip"
-        with zipfile.ZipFile(at, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(str(at))
-        _SHIPPED.add(sc.applicationId)
-
-
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with this package at hand on the executors."""
     ship(df.sparkSession)

@@ -34,7 +34,7 @@ from .components import components
 from .shingles import Shingler
 
 #: Counters of the sketch that tells common shingles, and how many of them may be called common.
-COUNTERS, MOST_COMMON = 1 << 24, 1 << 18
+COUNTERS, MOST_COMMON = 1 << 23, 1 << 18
 #: Ids that are broadcast to pick texts; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 NULL_ID = -(1 << 63)

@@ -24,7 +24,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Word hashes are cached, up to a bound."""
 
-    def __init__(self, width: int = 5, cache: int = 300_000):
+    def __init__(self, width: int = 5, cache: int = 150_000):
         self.width, self.most, self.known = width, cache, {}
 
     def _hash(self, word: bytes) -> int:
