@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import map_arrow, table
+from .common import fresh_names, map_arrow, table
 
 #: Bytes of a piece that are merged directly.
 LEAF = 24
@@ -119,11 +119,6 @@ class Codec:
             ids.extend(got)
         return ids
 
-    def forget(self) -> None:
-        """Empties the caches: workers live on after a task."""
-        self._pieces.clear()
-        self._pairs.clear()
-
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -138,8 +133,14 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
+def forget() -> None:
+    """Drops vocabularies and caches: workers live on after a task, and may have others to do."""
+    _CODECS.clear()
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col="text", out_col="token_ids") -> DataFrame:
-    """docs with out_col array<int>: the text's token ids."""
+    """docs with out_col array<int>: the text's token ids; _out_col where docs has such a column."""
+    (out_col,) = fresh_names(docs, out_col)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +156,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col="text", out_
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col="token_ids", out_col="decoded") -> DataFrame:
     """encoded with out_col binary: the bytes of the token ids."""
+    (out_col,) = fresh_names(encoded, out_col)
     at = encoded.columns.index(ids_col)
 
     def run(batches):
@@ -185,7 +187,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], tex
                     a.append(hashlib.sha256(ids.tobytes()).hexdigest())
                     b.append(hashlib.sha256(c.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=names)
-        c.forget()
+        forget()
 
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     return map_arrow(docs, run, schema)

@@ -148,8 +148,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
         yield [(r.item, r.text) for r in part.toLocalIterator()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", width=WIDTH, names=("n_words", "spans", "items")) -> DataFrame:
-    """docs with n_words long, spans array<struct<start, end>> of words, items array<string>."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", width=WIDTH, names=None) -> DataFrame:
+    """docs with n_words long, spans array<struct<start, end>> of words, items array<string>.
+
+    Where docs has a column of such a name, ours gets an underscore in front.
+    """
+    names = names or fresh_names(docs, "n_words", "spans", "items")
     sc = docs.sparkSession.sparkContext
     n_col, s_col, i_col = names
     at, have = docs.columns.index(text_col), len(docs.columns)

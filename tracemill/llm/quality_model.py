@@ -122,7 +122,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Ranking:
 
 
 def score(docs: DataFrame, ranking: Ranking, id_col="id", text_col="text", out_col="score") -> DataFrame:
-    """docs with out_col."""
+    """docs with out_col, _out_col where docs has such a column."""
+    (out_col,) = fresh_names(docs, out_col)
     sent = docs.sparkSession.sparkContext.broadcast(ranking)
     at = docs.columns.index(text_col)
 

@@ -295,8 +295,12 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH, gram=GRAM, names=("n_bytes", "n_removed", "n_spans", "kept")) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans (long) and kept (binary); the text column itself goes."""
+def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH, gram=GRAM, names=None) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans (long) and kept (binary); the text column itself goes.
+
+    Where docs has a column of such a name, ours gets an underscore in front.
+    """
+    names = names or fresh_names(docs, *_OUT)
     others = [c for c in docs.columns if c != text_col]
     whole = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("data"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")
