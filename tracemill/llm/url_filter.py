@@ -66,7 +66,7 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def _shrunk(child: DataFrame, group: list[str], mean: str, out: str) -> DataFrame:
+def _shrunk(child: DataFrame, mean: str, out: str) -> DataFrame:
     """Adds to child the posterior mean under a beta prior with the parent's mean.
 
     The prior's weight comes by the method of moments from how far children of one parent differ
@@ -91,9 +91,9 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     base = outcomes.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = base.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    s = _shrunk(suffixes.crossJoin(F.broadcast(total)), [], "m0", "m1").select("suffix", "m1")
-    d = _shrunk(domains.join(s, "suffix"), ["suffix"], "m1", "m2").select("domain", "m2")
-    h = _shrunk(base.join(d, "domain"), ["domain"], "m2", "m3")
+    s = _shrunk(suffixes.crossJoin(F.broadcast(total)), "m0", "m1").select("suffix", "m1")
+    d = _shrunk(domains.join(s, "suffix"), "m1", "m2").select("domain", "m2")
+    h = _shrunk(base.join(d, "domain"), "m2", "m3")
     a = F.col("n") + F.col("m3_k")
     return h.select("host", "n_pages", "n", "good", F.col("m3").alias("mean"), F.sqrt(F.col("m3") * (1 - F.col("m3")) / (a + 1)).alias("sd"))
 
