@@ -66,36 +66,33 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def _shrunk(child: DataFrame, mean: str, out: str) -> DataFrame:
-    """Adds to child the posterior mean under a beta prior with the parent's mean.
+def _prior_weight(child: DataFrame, mean: str) -> float:
+    """The weight of a beta prior with the parent's mean, from one row of sums.
 
-    The prior's weight comes by the method of moments from how far children of one parent differ
-    beyond what binomial noise explains, pooled over all parents: one global row.
+    By the method of moments: how far children of one parent differ beyond what binomial noise explains,
+    pooled over all parents.
     """
-    n, p = F.col("n"), F.col("good") / F.col("n")
-    pooled = child.where(F.col("n") > 0).agg(
-        F.sum(n).alias("sn"),
-        F.sum(n * (p - F.col(mean)) * (p - F.col(mean))).alias("s"),
-        F.sum(F.col(mean) * (1 - F.col(mean))).alias("b"),
-        F.sum(n * F.col(mean) * (1 - F.col(mean))).alias("v"),
-    )
-    rho = F.when(F.col("v") > F.col("b"), (F.col("s") - F.col("b")) / (F.col("v") - F.col("b")))
-    rho = F.least(F.greatest(F.coalesce(rho, F.lit(0.001)), F.lit(0.001)), F.lit(0.5))
-    k = pooled.select((1 / rho - 1).alias("k"))  # one row
-    return child.crossJoin(F.broadcast(k)).withColumn(out, (F.col("good") + F.col("k") * F.col(mean)) / (F.col("n") + F.col("k"))).withColumnRenamed("k", f"{out}_k")
+    n, m, p = F.col("n"), F.col(mean), F.col("good") / F.col("n")
+    s, b, v = child.where("n > 0").agg(F.sum(n * (p - m) * (p - m)), F.sum(m * (1 - m)), F.sum(n * m * (1 - m))).first()
+    rho = (s - b) / (v - b) if v is not None and v > b else 0.001
+    return 1 / max(min(rho, 0.5), 0.001) - 1
+
+
+def _shrunk(mean: str, k: float) -> Column:
+    return (F.col("good") + k * F.col(mean)) / (F.col("n") + k)
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """host, n, good, mean and sd of the posterior, from (host, n_pages, n, good) a host."""
-    total = outcomes.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m0"))
+    """host, n_pages, n, good, mean and sd of the posterior, from (host, n_pages, n, good) a host."""
+    good, n = outcomes.agg(F.sum("good"), F.sum("n")).first()
     base = outcomes.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = base.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    s = _shrunk(suffixes.crossJoin(F.broadcast(total)), "m0", "m1").select("suffix", "m1")
-    d = _shrunk(domains.join(s, "suffix"), "m1", "m2").select("domain", "m2")
-    h = _shrunk(base.join(d, "domain"), "m2", "m3")
-    a = F.col("n") + F.col("m3_k")
-    return h.select("host", "n_pages", "n", "good", F.col("m3").alias("mean"), F.sqrt(F.col("m3") * (1 - F.col("m3")) / (a + 1)).alias("sd"))
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("m0", F.lit(((good or 0) + 1) / ((n or 0) + 2)))
+    domains = domains.join(suffixes.select("suffix", _shrunk("m0", _prior_weight(suffixes, "m0")).alias("m1")), "suffix")
+    hosts = base.join(domains.select("domain", _shrunk("m1", _prior_weight(domains, "m1")).alias("m2")), "domain")
+    k = _prior_weight(hosts, "m2")
+    mean = _shrunk("m2", k)
+    return hosts.select("host", "n_pages", "n", "good", mean.alias("mean"), F.sqrt(mean * (1 - mean) / (F.col("n") + k + 1)).alias("sd"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col="page_id", url_col="url", rules=RULES, floor=0.5, z=1.645) -> DataFrame:
@@ -110,9 +107,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col="page_id", url_col=
         F.count(F.lit(1)).alias("n_pages"), F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("good")
     )
     counts = written(counts, "host-counts")  # a row a host, read many times below; the pages are not read again for it
-    rep = host_reputation(counts).select("host", "n_pages", (F.col("mean") - z * F.col("sd")).alias("lower"))
-    size = counts.agg(F.sum("n_pages").alias("all_pages"))
-    rep = rep.crossJoin(F.broadcast(size)).withColumn("hot", F.col("n_pages") * HOT_SHARE >= F.col("all_pages"))
+    pages_in_all = counts.agg(F.sum("n_pages")).first()[0] or 0
+    rep = host_reputation(counts).select("host", (F.col("mean") - z * F.col("sd")).alias("lower"), (F.col("n_pages") * HOT_SHARE >= pages_in_all).alias("hot"))
     hot = rep.where("hot").select("host", F.col("lower").alias("hot_lower"))
     cold = rep.where("NOT hot").select(F.concat(F.lit("h"), "host").alias("key"), F.col("lower").alias("cold_lower"))
     p = p.join(F.broadcast(hot), "host", "left")
