@@ -37,6 +37,8 @@ WIDTH = 10
 SHARD = 1_500_000
 #: Bytes of benchmark text that are sent to the workers at once.
 BLOCK = 8_000_000
+#: Rows of an Arrow batch that are searched together, as one shard or more.
+SLICE = 4000
 #: A-Z become a-z, and what no word holds becomes a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -139,13 +141,13 @@ def scan(texts: list[str | None], phrases: Phrases, shard_words: int = SHARD):
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
-    """The benchmark's items in parts of about BLOCK bytes; one part where all of it is smaller."""
+    """Whether it is the last one, and items: parts of about BLOCK bytes, one where all of them are smaller."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK))
     for i in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
-        yield [(r.item, r.text) for r in part.toLocalIterator()]
+        yield i == n - 1, [(r.item, r.text) for r in part.toLocalIterator()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", width=WIDTH, names=None) -> DataFrame:
@@ -154,27 +156,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col=
     Where docs has a column of such a name, ours gets an underscore in front.
     """
     names = names or fresh_names(docs, "n_words", "spans", "items")
+    return _searched(docs, benchmark, text_col, item_col, item_text_col, width, names, cut=False)
+
+
+def _searched(docs, benchmark, text_col, item_col, item_text_col, width, names, cut: bool) -> DataFrame:
+    """One pass for each block of the benchmark; the last one returns docs with `names`, or their cut texts."""
     sc = docs.sparkSession.sparkContext
-    n_col, s_col, i_col = names
     at, have = docs.columns.index(text_col), len(docs.columns)
-    schema = StructType([*docs.schema.fields, StructField(n_col, LongType()), StructField(s_col, ArrayType(SPAN)), StructField(i_col, ArrayType(StringType()))])
+    found = StructType([*docs.schema.fields, StructField(names[0], LongType()), StructField(names[1], ArrayType(SPAN)), StructField(names[2], ArrayType(StringType()))])
     out_types = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
     out = docs
-    for block in _blocks(benchmark, item_col, item_text_col):
+    for last, block in _blocks(benchmark, item_col, item_text_col):
         sent = sc.broadcast(Phrases(block, width))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                got = scan(batch.column(at).to_pylist(), sent.value)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, cuts=cut and last) -> Iterator[pa.RecordBatch]:
+            for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+                texts = batch.column(at).to_pylist()
+                got = scan(texts, sent.value)
                 if batch.num_columns > have:  # what earlier blocks found
                     before = zip(batch.column(have + 1).to_pylist(), batch.column(have + 2).to_pylist(), strict=True)
                     got = [(n, merged([*s, *((x["start"], x["end"]) for x in s0)]), sorted({*i, *i0})) for (n, s, i), (s0, i0) in zip(got, before, strict=True)]
-                cols = [[n for n, _, _ in got], [[{"start": a, "end": b} for a, b in s] for _, s, _ in got], [i for _, _, i in got]]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:have], *(pa.array(c, t) for c, t in zip(cols, out_types, strict=True))], names=[*batch.schema.names[:have], *names]
-                )
-
-        out = map_arrow(out, run, schema)
+                cols = list(batch.columns[:have])
+                if cuts:
+                    cols[at] = pa.array([without_spans(t, s) for t, (_, s, _) in zip(texts, got, strict=True)], pa.string())
+                    yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:have])
+                    continue
+                more = [[n for n, _, _ in got], [[{"start": a, "end": b} for a, b in s] for _, s, _ in got], [i for _, _, i in got]]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, t) for c, t in zip(more, out_types, strict=True))], names=[*batch.schema.names[:have], *names])
+
+        out = map_arrow(out, run, docs.schema if cut and last else found)
     return out
 
 
@@ -193,20 +203,9 @@ def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*kept, data[end:]]).decode("utf-8", "surrogatepass")
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col="text") -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", width=WIDTH) -> DataFrame:
     """docs with every benchmark passage cut out of the text; rows and columns stay."""
-    names = fresh_names(docs, "n_words", "spans", "items")
-    found = find_leaks(docs, benchmark, text_col, names=tuple(names))
-    at, s_at, keep = docs.columns.index(text_col), len(docs.columns) + 1, len(docs.columns)
-
-    def run(batches):
-        for batch in batches:
-            texts = [without_spans(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(batch.column(at).to_pylist(), batch.column(s_at).to_pylist(), strict=True)]
-            cols = list(batch.columns[:keep])
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:keep])
-
-    return map_arrow(found, run, docs.schema)
+    return _searched(docs, benchmark, text_col, item_col, item_text_col, width, fresh_names(docs, "n_words", "spans", "items"), cut=True)
 
 
 def op1(spark, sf_dir):

@@ -36,7 +36,7 @@ from .common import fresh_names, map_arrow, table, written
 
 WIDTH, GRAM = 400, 64
 #: Windows of a text that are handled at once.
-PART = 1_000_000
+PART = 200_000
 #: Keys that are broadcast to pick rows; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -141,8 +141,8 @@ def _anchor_table(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 2000):
-                rows = list(_runs_of(whole.slice(i, 2000), width, gram))
+            for i in range(0, whole.num_rows, 500):
+                rows = list(_runs_of(whole.slice(i, 500), width, gram))
                 if not rows:
                     continue
                 n = [len(r[2]) for r in rows]
@@ -176,13 +176,9 @@ def _contexts(picked: DataFrame, width: int) -> DataFrame:
 
 def _promising(contexts: list[bytes], width: int) -> np.ndarray:
     """Flags of the contexts with a window whose fingerprint is another's too."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    size = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    n_windows = size - width + 1
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    which = np.repeat(np.arange(len(size)), n_windows)
-    at = np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(n_windows)[:-1]]) - begin, n_windows)
-    prints = anchors.gram_hashes(data, width)[at]
+    prints = [anchors.gram_hashes(np.frombuffer(c, np.uint8), width) for c in contexts]
+    which = np.repeat(np.arange(len(contexts)), [len(p) for p in prints])
+    prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
     order = np.argsort(prints, kind="stable")
     same = prints[order][1:] == prints[order][:-1]
     out = np.zeros(len(contexts), bool)
@@ -208,8 +204,8 @@ def _repeated_windows(contexts: DataFrame, width: int) -> DataFrame:
     def run(batches):
         group, family, rows, number = None, None, {}, 0
         for whole in batches:
-            for i in range(0, whole.num_rows, 5000):
-                batch = whole.slice(i, 5000)
+            for i in range(0, whole.num_rows, 1500):
+                batch = whole.slice(i, 1500)
                 h = batch.column(0).to_numpy()
                 cols = list(zip(*(c.to_pylist() for c in batch.columns[1:5]), strict=True))
                 strings = batch.column(5).to_pylist()
