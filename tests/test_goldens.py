@@ -152,3 +152,13 @@ def test_byte_prefix(spark, s, n, want):
 
 def test_secrets(spark):
     assert one(spark, x.redact_secrets(F.lit("token = abcdefgh12 sk-" + "a" * 24))) == "token = [REDACTED_SECRET] [REDACTED_SECRET]"
+
+
+@pytest.mark.parametrize("n, want", [(-5, "0"), (999, "999"), (1200, "1.20K"), (10_000, "10.0K"), (999_499, "999K"), (999_500, "1.00M"), (123_456_789, "123M"), (1_234_567_890, "1.23G"), (1_234_000_000_000, "1234G")])
+def test_si_suffix(spark, n, want):
+    assert one(spark, x.si_suffix(F.lit(n))) == want
+
+
+@pytest.mark.parametrize("ms, want", [(250, "250ms"), (1500, "1.50s"), (59_999, "60.00s"), (75_000, "1m 15s"), (3_600_000, "60m 00s")])
+def test_elapsed(spark, ms, want):
+    assert one(spark, x.elapsed(F.lit(ms))) == want

@@ -78,8 +78,8 @@ def fingerprint(domain: str, s: Column) -> Column:
 
 def effective_line(s: Column) -> Column:
     """White space collapsed; null for lines of three bytes or fewer and lines without a word character."""
-    line = F.btrim(F.regexp_replace(s, r"\s+", " "))
-    return F.when((F.octet_length(line) > 3) & line.rlike("[A-Za-z0-9_]"), line)
+    line = F.btrim(F.regexp_replace(s, r"(?U)\s+", " "))
+    return F.when((F.octet_length(line) > 3) & line.rlike(r"[\p{L}\p{N}_]"), line)
 
 
 def diff_path(s: Column) -> Column:
@@ -87,12 +87,17 @@ def diff_path(s: Column) -> Column:
 
 
 def si_suffix(n: Column) -> Column:
-    """Three significant figures and K, M or G; plain below 1000."""
+    """Three significant figures and K, M or G; plain below 1000, 0 below 0.
+
+    A unit serves up to where its rounded figure would reach 1000.
+    """
+    n = F.greatest(n, F.lit(0))
     out = n.cast("string")
-    for scale, suffix in ((1_000, "K"), (1_000_000, "M"), (1_000_000_000, "G")):
+    for scale, suffix, begins in ((1_000, "K", 1_000), (1_000_000, "M", 999_500), (1_000_000_000, "G", 999_500_000)):
         x = n / scale
-        shown = F.when(F.round(x, 2) < 10, F.format_string("%.2f", x)).when(F.round(x, 1) < 100, F.format_string("%.1f", x)).otherwise(F.format_string("%.0f", x))
-        out = F.when(n >= scale, F.concat(shown, F.lit(suffix))).otherwise(out)
+        digits = lambda d: F.format_string(f"%.{d}f", F.round(x * 10**d) / 10**d)  # noqa: B023, E731
+        shown = F.when(F.round(100 * x) < 1000, digits(2)).when(F.round(10 * x) < 1000, digits(1)).otherwise(digits(0))
+        out = F.when(n >= begins, F.concat(shown, F.lit(suffix))).otherwise(out)
     return out
 
 
@@ -102,10 +107,10 @@ def with_separators(n: Column) -> Column:
 
 def elapsed(ms: Column) -> Column:
     """ms below a second, seconds below a minute, then minutes and seconds."""
-    s = F.floor(ms / 1000)
+    s, cents = F.floor(ms / 1000), F.floor((ms + 5) / 10)
     return (
         F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms")))
-        .when(ms < 60_000, F.concat(s.cast("string"), F.lit("."), F.lpad((F.floor(ms / 10) % 100).cast("string"), 2, "0"), F.lit("s")))
+        .when(ms < 60_000, F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit("s")))
         .otherwise(F.concat(F.floor(s / 60).cast("string"), F.lit("m "), F.lpad((s % 60).cast("string"), 2, "0"), F.lit("s")))
     )
 

@@ -68,7 +68,7 @@ def _(t):
     return t.documents.select("doc_id", x.fingerprint("lines.v1", F.col("text")).alias("h"))
 
 
-@query("FN10_effective_line", r"SELECT doc_id, CASE WHEN strlen(l) > 3 AND regexp_matches(l, '[A-Za-z0-9_]') THEN l END AS line FROM (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS l FROM documents)")
+@query("FN10_effective_line", r"SELECT doc_id, CASE WHEN strlen(l) > 3 AND regexp_matches(l, '[\p{L}\p{N}_]') THEN l END AS line FROM (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS l FROM documents)")
 def _(t):
     return t.documents.select("doc_id", x.effective_line(F.substring_index("text", "\n", 1)).alias("line"))
 
@@ -80,8 +80,8 @@ def _(t):
 
 
 def _si(n: str) -> str:
-    show = lambda s, u: f"CASE WHEN round({n} / {s}, 2) < 10 THEN printf('%.2f{u}', {n} / {s}) WHEN round({n} / {s}, 1) < 100 THEN printf('%.1f{u}', {n} / {s}) ELSE printf('%.0f{u}', {n} / {s}) END"
-    return f"CASE WHEN {n} >= 1000000 THEN {show('1000000.0::DOUBLE', 'M')} WHEN {n} >= 1000 THEN {show('1000.0::DOUBLE', 'K')} ELSE CAST({n} AS VARCHAR) END"
+    show = lambda s, u: f"CASE WHEN round(100 * {n} / {s}) < 1000 THEN printf('%.2f{u}', round(100 * {n} / {s}) / 100) WHEN round(10 * {n} / {s}) < 1000 THEN printf('%.1f{u}', round(10 * {n} / {s}) / 10) ELSE printf('%.0f{u}', round({n} / {s})) END"
+    return f"CASE WHEN {n} >= 999500 THEN {show('1000000.0::DOUBLE', 'M')} WHEN {n} >= 1000 THEN {show('1000.0::DOUBLE', 'K')} ELSE CAST({n} AS VARCHAR) END"
 
 
 @query("FN12_si_suffix", f"SELECT doc_id, {_si('n')} AS s, regexp_replace(CAST(n AS VARCHAR), '^$', '') AS plain FROM (SELECT doc_id, doc_id * doc_id + 7 AS n FROM documents)")
@@ -90,7 +90,7 @@ def _(t):
     return t.documents.select("doc_id", x.si_suffix(n).alias("s"), F.regexp_replace(x.with_separators(n), ",", "").alias("plain"))
 
 
-@query("FN13_elapsed", "SELECT doc_id, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN (ms // 1000) || '.' || lpad(CAST((ms // 10) % 100 AS VARCHAR), 2, '0') || 's' ELSE (ms // 60000) || 'm ' || lpad(CAST((ms // 1000) % 60 AS VARCHAR), 2, '0') || 's' END AS s FROM (SELECT doc_id, doc_id * 277 AS ms FROM documents)")
+@query("FN13_elapsed", "SELECT doc_id, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN ((ms + 5) // 1000) || '.' || lpad(CAST(((ms + 5) // 10) % 100 AS VARCHAR), 2, '0') || 's' ELSE (ms // 60000) || 'm ' || lpad(CAST((ms // 1000) % 60 AS VARCHAR), 2, '0') || 's' END AS s FROM (SELECT doc_id, doc_id * 277 AS ms FROM documents)")
 def _(t):
     return t.documents.select("doc_id", x.elapsed(F.col("doc_id") * 277).alias("s"))
 
