@@ -131,7 +131,8 @@ def strip_prompt_prefix(s: Column, marker: str, placeholder: str = "[Image]") ->
     return F.when(out == "", placeholder).otherwise(out)
 
 
-BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: Fixed value: digits of short hashes.
+BASE62 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def short_hash(n: Column, digits: int = 4) -> Column:
@@ -140,8 +141,8 @@ def short_hash(n: Column, digits: int = 4) -> Column:
 
 
 def slug(s: Column, most: int = 60) -> Column:
-    out = F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "_"), F.lit("_"))
-    return F.rtrim(F.left(out, F.lit(most)), F.lit("_"))
+    """The first characters in lower case, each that is no letter or digit an underscore, none at the end."""
+    return F.rtrim(F.lower(F.regexp_replace(F.left(s, F.lit(most)), "[^A-Za-z0-9]", "_")), F.lit("_"))
 
 
 def render_template(template: str, values: dict[str, Column]) -> Column:

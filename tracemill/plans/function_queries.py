@@ -118,9 +118,9 @@ def _(t):
 _B62 = " || ".join(f"substr('{x.BASE62}', CAST((n // {62**i}) % 62 AS INT) + 1, 1)" for i in (3, 2, 1, 0))
 
 
-@query("FN17_slug_hash", f"SELECT doc_id, rtrim(left(trim(regexp_replace(lower({ASCII}), '[^a-z0-9]+', '_', 'g'), '_'), 60), '_') || '-' || {_B62} AS stem FROM (SELECT *, doc_id * 7919 AS n FROM documents)")
+@query("FN17_slug_hash", f"SELECT doc_id, {_B62} || '-' || rtrim(lower(regexp_replace(left(text, 60), '[^A-Za-z0-9]', '_', 'g')), '_') AS stem FROM (SELECT *, doc_id * 7919 AS n FROM documents)")
 def _(t):
-    return t.documents.select("doc_id", F.concat(x.slug(ascii_col()), F.lit("-"), x.short_hash(F.col("doc_id") * 7919)).alias("stem"))
+    return t.documents.select("doc_id", F.concat(x.short_hash(F.col("doc_id") * 7919), F.lit("-"), x.slug(F.col("text"))).alias("stem"))
 
 
 @query("FN18_render_template", "SELECT p_partkey, 'Review ' || p_brand || ' of ' || p_size || '. Use {literal} and {missing}.' AS s FROM part")
