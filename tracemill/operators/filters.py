@@ -98,8 +98,8 @@ def without_marked(parts: Column, markers: Sequence[tuple[str, str]]) -> Column:
 def hook_matches(matcher: Column, name: Column) -> Column:
     """Null, empty and * match all; names with | match exactly; anything else is a regular expression.
 
-    An expression that doesn't compile matches nothing: try_eval-style guarding is by a syntax screen, for a
-    bad pattern would fail the query.
+    A null name only matches all. An expression that doesn't compile matches nothing; a screen of the syntax
+    finds those, for one bad pattern would fail the query.
     """
     plain = matcher.rlike(r"^[A-Za-z0-9_|]+$")
     balanced = (
@@ -110,6 +110,7 @@ def hook_matches(matcher: Column, name: Column) -> Column:
     pattern = F.when(balanced, matcher).otherwise(F.lit("(?!)"))
     return (
         F.when(matcher.isNull() | matcher.isin("", "*"), True)
+        .when(name.isNull(), False)
         .when(plain, F.array_contains(F.split(matcher, r"\|"), name))
         .otherwise(F.regexp_like(name, pattern))
     )
