@@ -261,23 +261,20 @@ def repeated_spans(docs: DataFrame, width=WIDTH, gram=GRAM) -> DataFrame:
     a = written(_anchor_table(docs, width, gram), "anchors")
     same = a.groupBy("h").agg(F.count(F.lit(1)).alias("k"), ((F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))).alias("mixed"))
     same = written(same.where("k > 1").select("h", "mixed"), "repeated-anchors")
-    dup = a.join(F.broadcast(same) if same.count() <= MOST_BROADCAST else same, "h")
-    span = lambda df: df.select("id", "mark", F.col("first").alias("start"), (F.col("first") + F.col("n_windows") + (width - 1)).alias("end"))
-    whole = span(dup.where("NOT mixed"))
-
-    mixed = written(dup.where("mixed").drop("mixed", "off"), "mixed-anchors")
+    dup = written(a.join(F.broadcast(same) if same.count() <= MOST_BROADCAST else same, "h").drop("off"), "repeated-runs")
     loc = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "first", "n_windows")).alias("loc")
-    contexts = written(mixed.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), loc), "contexts")
+    contexts = written(dup.groupBy("h", "mixed", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), loc), "contexts")
     often = contexts.where("n > 1").select("c1", "c2")
-    whole_mixed = span(mixed.join(F.broadcast(often) if often.count() <= MOST_BROADCAST else often, ["c1", "c2"]))
+    whole = dup.join(F.broadcast(often) if often.count() <= MOST_BROADCAST else often, ["c1", "c2"])
+    whole = whole.select("id", "mark", F.col("first").alias("start"), (F.col("first") + F.col("n_windows") + (width - 1)).alias("end"))
 
-    wanted = contexts.groupBy(F.col("loc.id").alias("id"), F.col("loc.mark").alias("mark")).agg(
+    wanted = contexts.where("mixed").groupBy(F.col("loc.id").alias("id"), F.col("loc.mark").alias("mark")).agg(
         F.collect_list(F.struct(F.col("loc.first").alias("first"), F.col("loc.n_windows").alias("n_windows"), "h", "n")).alias("wanted")
     )
     texts = _contexts(_with(docs, written(wanted, "wanted"), "wanted").select("id", "mark", "data", "wanted"), width)
     texts = texts.repartition("h").sortWithinPartitions("h")
     parts = _repeated_windows(texts, width)
-    spans = whole.unionByName(whole_mixed).unionByName(parts)
+    spans = whole.unionByName(parts)
     return written(spans.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
 
 
