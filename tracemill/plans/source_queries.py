@@ -178,7 +178,8 @@ def _(t):
 
 @query("SM5_throttled_sets")
 def _(t):
-    return st.drain(st.throttled_sets(st.file_stream(t.spark, _ordered_events(t), _SCHEMA), "user_id", "ts", "1 day", "event_type").select("user_id", F.col("w.start").alias("start"), "items"), scratch(t.spark, "sets"), scratch(t.spark, "check"))
+    sets = st.throttled_sets(st.file_stream(t.spark, _ordered_events(t), _SCHEMA), "user_id", "ts", "1 day", "event_type").select("user_id", F.col("w.start").alias("start"), "items")
+    return st.drain_latest(sets, ["user_id", "start"], scratch(t.spark, "sets"), scratch(t.spark, "check"))
 
 
 @query("SM8_tag_parser", "SELECT conv_id, turn, 'ab' AS shown, ['x' || turn] AS hidden FROM conversations")

@@ -50,8 +50,20 @@ def buffered_until_owner(stream: DataFrame, key: str, kind: str, owner: str, val
 
 
 def throttled_sets(stream: DataFrame, key: str, at: str, every: str, item: str) -> DataFrame:
-    """What changed in each interval, once an interval."""
-    return stream.withWatermark(at, every).groupBy(key, F.window(at, every).alias("w")).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    """What changed in each interval: one set a key and interval, for drain_latest().
+
+    No watermark: it would refuse late rows, and in append mode keep back what is open when the input ends.
+    """
+    return stream.groupBy(key, F.window(at, every).alias("w")).agg(F.array_sort(F.collect_set(item)).alias("items"))
+
+
+def drain_latest(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregation over all that is there: each batch writes the rows it changed, the last of a key counts."""
+    sink = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    stream.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(sink).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(f"{stream.schema.toDDL()}, batch long").parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, *[F.col(f"_last.{c}") for c in rest])
 
 
 def staged(df: DataFrame, label: str, files: int = 4) -> str:
