@@ -32,3 +32,11 @@ def test_throttled_sets_over_batches(spark, tmp_path):
     s = streams.throttled_sets(streams.file_stream(spark, path, "k long, at timestamp, kind string", 1), "k", "at", "1 day", "kind").select("k", F.date_format("w.start", "dd").alias("day"), "items")
     got = streams.drain_latest(s, ["k", "day"], str(tmp_path / "out"), str(tmp_path / "check")).collect()
     assert sorted((r.day, r["items"]) for r in got) == [("01", ["b"]), ("05", ["a", "c"])]
+
+
+def test_whole_directories_meet(spark, sf, con):
+    """JN14's SQL takes customers below 80 only; every customer and every supplier belongs in the merge."""
+    sql = """SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.name IS NULL OR a.name = coalesce(a.k, b.k) THEN coalesce(b.name, a.name) ELSE a.name END AS name, list_sort(list_distinct(list_concat(coalesce(a.labels, []), coalesce(b.labels, [])))) AS labels, coalesce(a.bal, b.bal) AS bal
+FROM (SELECT 'k' || c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'k' || c_custkey ELSE c_name END AS name, ['x', c_mktsegment] AS labels, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS bal FROM customer) a
+FULL JOIN (SELECT 'k' || s_suppkey AS k, s_name AS name, ['x', 's'] AS labels, s_acctbal AS bal FROM supplier) b ON a.k = b.k"""
+    same(QUERIES["JN14_directory_merge"](spark, sf), con, sql)

@@ -105,7 +105,7 @@ FROM (SELECT 'k' || c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'k' || c_cu
 FULL JOIN (SELECT 'k' || s_suppkey AS k, s_name AS name, ['x', 's'] AS labels, s_acctbal AS bal FROM supplier) b ON a.k = b.k""")
 def _(t):
     k = lambda c: F.concat(F.lit("k"), F.col(c).cast("string"))
-    c = t.customer.where("c_custkey < 80").select(k("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, k("c_custkey")).otherwise(F.col("c_name")).alias("name"), F.array(F.lit("x"), "c_mktsegment").alias("labels"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("bal"))
+    c = t.customer.select(k("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, k("c_custkey")).otherwise(F.col("c_name")).alias("name"), F.array(F.lit("x"), "c_mktsegment").alias("labels"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("bal"))
     s = t.supplier.select(k("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.array(F.lit("x"), F.lit("s")).alias("labels"), F.col("s_acctbal").alias("bal"))
     return j.merged_directories(c, s, "k", ["bal"], "labels")
 
