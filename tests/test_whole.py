@@ -40,3 +40,11 @@ def test_whole_directories_meet(spark, sf, con):
 FROM (SELECT 'k' || c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'k' || c_custkey ELSE c_name END AS name, ['x', c_mktsegment] AS labels, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS bal FROM customer) a
 FULL JOIN (SELECT 'k' || s_suppkey AS k, s_name AS name, ['x', 's'] AS labels, s_acctbal AS bal FROM supplier) b ON a.k = b.k"""
     same(QUERIES["JN14_directory_merge"](spark, sf), con, sql)
+
+
+def test_all_descendants_in_order(spark, sf):
+    """TK11's SQL stops at 100; below root 0 there are all customers, one level a doubling."""
+    ids = sorted(r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey >= 1").select("c_custkey").collect())
+    assert len(ids) > 100
+    got = [(r.depth, r.id) for r in QUERIES["TK11_descendant_order"](spark, sf).collect()]
+    assert got == sorted((i.bit_length(), i) for i in ids)
