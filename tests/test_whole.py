@@ -48,3 +48,14 @@ def test_all_descendants_in_order(spark, sf):
     assert len(ids) > 100
     got = [(r.depth, r.id) for r in QUERIES["TK11_descendant_order"](spark, sf).collect()]
     assert got == sorted((i.bit_length(), i) for i in ids)
+
+
+def test_titles_are_whole(spark, sf):
+    """AG4's SQL cuts titles to 60 characters; the title is the whole trimmed text."""
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").select("conv_id", "turn", "text").collect():
+        if (r.text or "").strip(" "):
+            turns[r.conv_id].append((r.turn, r.text.strip(" ")))
+    got = {r.conv_id: r.title for r in QUERIES["AG4_thread_fold"](spark, sf).collect() if r.title is not None}
+    assert got == {k: min(v)[1] for k, v in turns.items()}
+    assert max(map(len, got.values())) > 60

@@ -21,7 +21,7 @@ def thread_fold(items: DataFrame, key: str, order: str, role="role", text="text"
     o, user = F.col(order), F.col(role) == "user"
     return items.groupBy(key).agg(
         first_where(F.col(text), o, user).alias("first_user_text"),
-        first_where(F.left(F.btrim(F.col(text)), F.lit(60)), o, user & (F.btrim(F.col(text)) != "")).alias("title"),
+        first_where(F.btrim(F.col(text)), o, user & (F.btrim(F.col(text)) != "")).alias("title"),
         F.max_by(role, o).alias("last_role"),
         F.count(F.lit(1)).alias("n_items"),
         F.sum(F.floor((F.octet_length(text) + 3) / 4)).cast("long").alias("tokens"),
