@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.parity import connect, same
+from tracemill.operators import upserts
 from tracemill.plans import QUERIES
 from tracemill.streaming import streams
 
@@ -59,3 +60,14 @@ def test_titles_are_whole(spark, sf):
     got = {r.conv_id: r.title for r in QUERIES["AG4_thread_fold"](spark, sf).collect() if r.title is not None}
     assert got == {k: min(v)[1] for k, v in turns.items()}
     assert max(map(len, got.values())) > 60
+
+
+def test_backfill_copies_whole_texts(spark, sf, con):
+    """DM13's SQL copies ten characters, whatever the text."""
+    same(QUERIES["DM13_backfill"](spark, sf), con, "SELECT conv_id, turn, CASE WHEN role = 'user' THEN CASE WHEN text <> '' THEN text ELSE '' END ELSE role END AS v FROM conversations")
+
+
+@pytest.mark.parametrize("target, event, source, want", [("", 1, "a whole title", "a whole title"), ("kept", 1, "title", "kept"), ("", 0, "title", ""), ("", 1, "", ""), ("", 1, None, ""), (None, 1, "title", None)])
+def test_backfill_conditions(spark, target, event, source, want):
+    row = spark.createDataFrame([(target, event, source)], "target string, event int, source string")
+    assert row.select(upserts.backfilled(F.col("target"), F.col("source"), F.col("event")).alias("v")).first().v == want

@@ -59,6 +59,11 @@ def budget_account(usage: DataFrame, keys: Sequence[str], order: Sequence[Column
     return usage.withColumn("used", used).withColumn("status", F.when(F.col(budget).isNotNull() & (F.col("used") >= F.col(budget)), "budget_limited").otherwise("active"))
 
 
+def backfilled(target: Column, source: Column, has_event: Column) -> Column:
+    """The whole source where the target is empty, the row has a user event and the source is not empty."""
+    return F.when((target == "") & (has_event == 1) & (source != ""), source).otherwise(target)
+
+
 def status_update(old: Column, asked: Column, used: Column, budget: Column) -> Column:
     """A limit holds against pausing, and asking for active over budget leaves it limited."""
     over = budget.isNotNull() & (used >= budget)

@@ -233,7 +233,9 @@ def _(t):
 
 @query("DM13_backfill", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN left(text, 10) ELSE role END AS v FROM conversations")
 def _(t):
-    return t.conversations.select("conv_id", "turn", F.when(F.col("role") == "user", F.left("text", F.lit(10))).otherwise(F.col("role")).alias("v"))
+    """A user's turn has no value yet, any other has its role."""
+    user = F.col("role") == "user"
+    return t.conversations.select("conv_id", "turn", u.backfilled(F.when(user, "").otherwise(F.col("role")), F.col("text"), F.coalesce(user, F.lit(False)).cast("int")).alias("v"))
 
 
 @query("DM14_prefer_existing", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_name END, s_name) AS name FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
