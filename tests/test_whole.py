@@ -71,3 +71,10 @@ def test_backfill_copies_whole_texts(spark, sf, con):
 def test_backfill_conditions(spark, target, event, source, want):
     row = spark.createDataFrame([(target, event, source)], "target string, event int, source string")
     assert row.select(upserts.backfilled(F.col("target"), F.col("source"), F.col("event")).alias("v")).first().v == want
+
+
+def test_every_line_is_judged(spark, sf, con):
+    """FN10's SQL looks at first lines only."""
+    sql = r"""SELECT doc_id, pos, CASE WHEN strlen(l) > 3 AND regexp_matches(l, '[\p{L}\p{N}_]') THEN l END AS line
+FROM (SELECT doc_id, pos, trim(regexp_replace(l, '\s+', ' ', 'g')) AS l FROM (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"""
+    same(QUERIES["FN10_effective_line"](spark, sf), con, sql)

@@ -70,7 +70,9 @@ def _(t):
 
 @query("FN10_effective_line", r"SELECT doc_id, CASE WHEN strlen(l) > 3 AND regexp_matches(l, '[\p{L}\p{N}_]') THEN l END AS line FROM (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS l FROM documents)")
 def _(t):
-    return t.documents.select("doc_id", x.effective_line(F.substring_index("text", "\n", 1)).alias("line"))
+    """Every line with its position, the first is 0."""
+    lines = t.documents.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "l"))
+    return lines.select("doc_id", "pos", x.effective_line(F.col("l")).alias("line"))
 
 
 @query("FN11_diff_path", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'src/' || page_id END AS p FROM pages")
