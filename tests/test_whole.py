@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.parity import connect, same
+from tracemill.llm import toxicity
 from tracemill.operators import upserts
 from tracemill.plans import QUERIES
 from tracemill.streaming import streams
@@ -78,3 +79,16 @@ def test_every_line_is_judged(spark, sf, con):
     sql = r"""SELECT doc_id, pos, CASE WHEN strlen(l) > 3 AND regexp_matches(l, '[\p{L}\p{N}_]') THEN l END AS line
 FROM (SELECT doc_id, pos, trim(regexp_replace(l, '\s+', ' ', 'g')) AS l FROM (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"""
     same(QUERIES["FN10_effective_line"](spark, sf), con, sql)
+
+
+def test_all_expressions_with_evidence_count(spark, monkeypatch):
+    """Past MOST_EXPRESSIONS the scores are the same, for repeated, null and wordless rows too."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, "a text"), (1, "a text"), (1, None), (-1, "")], docs.schema))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("id"), "toxic")
+    rows = lambda: sorted((str(r.id), round(r.score, 9)) for r in toxicity.score(docs, labels).collect())
+    want = rows()
+    assert len({s for _, s in want}) > 10
+    monkeypatch.setattr(toxicity, "MOST_EXPRESSIONS", 5)
+    assert rows() == want

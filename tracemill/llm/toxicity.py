@@ -10,8 +10,9 @@ length-normalised log-likelihoods, brought to a probability by a logistic curve.
 
 Counts cover every distinct labelled text that may be learnt from (a fifth is kept for the curve), an
 expression once a text, and are aggregated in Spark; the counts themselves never leave it. What scoring
-needs is the log ratio of each expression with evidence, at most MOST_EXPRESSIONS of them (the ones with
-the most), which the workers get by broadcast. Scoring is per document.
+needs is the log ratio of each expression with evidence. Up to MOST_EXPRESSIONS of them the workers get by
+broadcast, and scoring is per document; of more the most frequent are sent and the rest joined by shuffle,
+with the same scores.
 
 Defined results: null and wordless texts get the curve's value at 0; label rows that repeat count once,
 toxic if any is; documents without a label aren't learnt from; with no labelled document of one class
@@ -32,10 +33,12 @@ from .logistic import fit_logistic
 
 ORDER = 7
 DISCOUNT, EVIDENCE = 0.75, 3.0
-#: Log ratios that are sent to the workers at most.
+#: Log ratios that are sent to the workers at most; the rest are joined by shuffle.
 MOST_EXPRESSIONS = 500_000
 #: Flags that tell most expressions without evidence before the exact look; a prime.
 FLAGS = 4_194_301
+#: The same, as bits, for expressions that are joined by shuffle; a prime.
+JOIN_FLAGS = 134_217_689
 #: Labelled documents that the logistic curve is fitted on at most.
 MOST_CURVE = 20_000
 #: Labels that are broadcast to pick texts; more are joined by shuffle.
@@ -80,7 +83,7 @@ def _suffix(g, order: int):
 
 
 def log_ratios(counts: DataFrame, texts: tuple[int, int], d: float = DISCOUNT) -> DataFrame:
-    """g, llr of the expressions with evidence, less what every other one has."""
+    """g, llr, n of the expressions with evidence: llr less what every other one has, n how many texts."""
     share = texts[1] / sum(texts)
     expected = (F.col("n0") + F.col("n1")) * share
     z = F.abs(F.col("n1") - expected) / F.sqrt(expected * (1 - share) + 0.5)
@@ -90,11 +93,10 @@ def log_ratios(counts: DataFrame, texts: tuple[int, int], d: float = DISCOUNT) -
     kept = [F.when(z >= EVIDENCE, F.greatest(F.col(f"n{c}") - d, F.lit(0.0))).otherwise(0.0) for c in (0, 1)]
     n0, n1, k0, k1, types = counts.agg(F.sum("n0"), F.sum("n1"), F.sum(kept[0]), F.sum(kept[1]), F.count(F.lit(1))).first()
     free = [(n0 - k0) / n0, (n1 - k1) / n1]
-    some = counts.where(z >= EVIDENCE).orderBy(z.desc(), "g").limit(MOST_EXPRESSIONS)
-    some = some.join(low, _suffix(F.col("g"), ORDER - 1) == F.col("low")).join(F.broadcast(first), F.shiftright("g", 8 * (ORDER - 1)) == F.col("first"))
+    some = counts.where(z >= EVIDENCE).join(low, _suffix(F.col("g"), ORDER - 1) == F.col("low")).join(F.broadcast(first), F.shiftright("g", 8 * (ORDER - 1)) == F.col("first"))
     shared = F.col("c") / F.lit(float(types)) * F.col("f") / F.lit(float(types))
     p = [F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) / F.lit(float(n)) + F.lit(float(free[c])) * shared for c, n in ((0, n0), (1, n1))]
-    return some.select("g", (F.log(p[1]) - F.log(p[0]) - float(np.log(free[1] / free[0]))).alias("llr"))
+    return some.select("g", (F.log(p[1]) - F.log(p[0]) - float(np.log(free[1] / free[0]))).alias("llr"), (F.col("n0") + F.col("n1")).alias("n"))
 
 
 class Model:
@@ -128,6 +130,43 @@ def _differences(docs: DataFrame, sent, keep: list[str]) -> DataFrame:
     return map_arrow(docs.select(*keep, "text"), run, docs.select(*keep).schema.add("difference", "double"))
 
 
+def _joined_differences(docs: DataFrame, sent, rest: DataFrame, keep: list[str]) -> DataFrame:
+    """As _differences(), with log ratios besides those sent: rows of the expressions that may be among the rest meet them.
+
+    A document's own row, under a key of its own below 0, has what the sent ones give.
+    """
+    spark = docs.sparkSession
+    at = F.col("g") % JOIN_FLAGS + 1
+    bits = np.zeros(JOIN_FLAGS // 8 + 4097, np.uint8)
+    for r in rest.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
+        bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
+    told = spark.sparkContext.broadcast(bits)
+    rows = docs.select(*keep, "text").withColumn("_row", F.monotonically_increasing_id())
+    names = [*keep, "_row", "g", "v"]
+
+    def run(batches):
+        model, bits = sent.value, told.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, 200):
+                batch = whole.slice(i, 200)
+                of, gs, vs = [], [], []
+                for k, (text, row) in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(keep) :]), strict=True)):
+                    g = grams(text)
+                    f = g % JOIN_FLAGS
+                    some, n = np.unique(g[(bits[f >> 3] >> (f & 7) & 1).astype(bool)], return_counts=True)
+                    of.append(np.full(len(some) + 1, k))
+                    gs.append(np.append(some, -1 - row))
+                    vs.append(np.append(n / max(len(g), 1), model.difference(text)))
+                of = np.concatenate(of)
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(of)) for c in batch.columns[: len(keep)]], batch.column(len(keep) + 1).take(pa.array(of)), pa.array(np.concatenate(gs)), pa.array(np.concatenate(vs))], names=names)
+
+    schema = docs.select(*keep).schema.add("_row", "long").add("g", "long").add("v", "double")
+    found = map_arrow(rows, run, schema).join(rest, "g", "left")
+    v = F.when(F.col("g") < 0, F.col("v")).otherwise(F.coalesce(F.col("v") * F.col("llr"), F.lit(0.0)))
+    parts = F.array_sort(F.collect_list(F.struct("g", v.alias("v"))))  # in order, so sums come out alike
+    return found.groupBy("_row", *keep).agg(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["v"]).alias("difference")).drop("_row")
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """id, score for docs of (id, text), learnt from labels of (id, toxic), which may be of any number."""
     spark = docs.sparkSession
@@ -144,17 +183,23 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if len(texts) < 2:
         return docs.select("id", F.lit(toxic / n).alias("score"))
     counts = written(_counts(docs.join(F.broadcast(known) if n <= MOST_BROADCAST else known, "id").select("text", "toxic")), "counts")
-    got = log_ratios(counts, (texts[0], texts[1])).toArrow()
+    ratios = written(log_ratios(counts, (texts[0], texts[1])), "ratios")
+    got = ratios.orderBy(F.desc("n"), "g").limit(MOST_EXPRESSIONS).toArrow()
     sent = spark.sparkContext.broadcast(Model(got.column("g").to_numpy(), got.column("llr").to_numpy()))
+    differences = lambda df, keep: _differences(df, sent, keep)
+    if ratios.count() > got.num_rows:
+        g, n = got.column("g")[-1].as_py(), got.column("n")[-1].as_py()
+        rest = ratios.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("g") > g))).select("g", "llr")
+        differences = lambda df, keep: _joined_differences(df, sent, rest, keep)
     picked = labels.where("curve").orderBy(F.xxhash64("id", F.lit(1))).limit(MOST_CURVE).select("id", "toxic")
-    curve = _differences(docs.join(F.broadcast(picked), "id").select("toxic", "text"), sent, ["toxic"]).limit(2 * MOST_CURVE).toArrow()
+    curve = differences(docs.join(F.broadcast(picked), "id").select("toxic", "text"), ["toxic"]).limit(2 * MOST_CURVE).toArrow()
     x, y = curve.column("difference").to_numpy(), curve.column("toxic").to_numpy()
     if y.min(initial=1) == y.max(initial=0) or len(y) < 10:  # too few labels to keep any for the curve
         x, y = np.array([-0.02, 0.0, 0.02, 0.04]), np.array([0, 0, 1, 1])
     scale = max(float(np.std(x)), 1e-9)
     w = fit_logistic(np.stack([x / scale, np.ones(len(x))], axis=1), y, 1e-3)
     at = F.col("difference") * float(w[0] / scale) + float(w[1])
-    return _differences(docs.select("id", "text"), sent, ["id"]).select("id", (1 / (1 + F.exp(-at))).alias("score"))
+    return differences(docs.select("id", "text"), ["id"]).select("id", (1 / (1 + F.exp(-at))).alias("score"))
 
 
 def op8(spark, sf_dir):
