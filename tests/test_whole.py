@@ -92,3 +92,21 @@ def test_all_expressions_with_evidence_count(spark, monkeypatch):
     assert len({s for _, s in want}) > 10
     monkeypatch.setattr(toxicity, "MOST_EXPRESSIONS", 5)
     assert rows() == want
+
+
+def test_late_commands_are_counted(spark):
+    moves = {("pending", "start"): "running", ("running", "report"): "completed", ("running", "fail"): "failed"}
+    rows = spark.createDataFrame([(1, 0, "start"), (1, 1, "fail"), (1, 2, "report"), (1, 3, "report"), (2, 0, "start"), (2, 1, "report"), (3, 0, "report")], "k int, o int, c string")
+    assert {r.k: r.refused for r in upserts.refused_commands(rows, ["k"], "o", "c", moves, "pending").collect()} == {1: 2, 2: 0, 3: 1}
+
+
+def test_cells_find_what_the_last_one_stored(spark):
+    """The cell doubles and adds, so its result depends on the order."""
+    rows = spark.createDataFrame([(1, 2, 5), (1, 0, 1), (1, 1, 3), (2, 0, 7)], "k int, o int, v long")
+    got = upserts.stored_cells(rows, ["k"], "o", ["v"], F.lit(0).cast("long"), lambda stored, x: stored * 2 + x["v"])
+    assert {r.k: r.stored for r in got.collect()} == {1: 15, 2: 7}
+
+
+def test_queries_use_states_and_cells(spark, sf):
+    for name, fold in (("SM16_late_rejected", "running"), ("UD3_stored_cells", "aggregate")):
+        assert fold in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString(), name

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,11 +38,8 @@ def changed_only(existing: DataFrame, incoming: DataFrame, key: str, cols: Seque
     return incoming.join(e, key, "left").where(~same).select(key, *cols)
 
 
-def run_state_machine(commands: DataFrame, keys: Sequence[str], order: str, command: str, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
-    """The state of each key after its commands in order, and how many were accepted.
-
-    moves: (state, command) -> state; a command without a move from where the key stands is refused.
-    """
+def _commands_run(commands: DataFrame, keys: Sequence[str], order: str, command: str, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
+    """keys, state, accepted, n: n is how many commands there were."""
     step = F.create_map(*[x for (s, c), to in moves.items() for x in (F.lit(f"{s}\t{c}"), F.lit(to))])
     fold = lambda a, x: F.struct(
         F.coalesce(step[F.concat(a["state"], F.lit("\t"), x["c"])], a["state"]).alias("state"),
@@ -50,7 +47,26 @@ def run_state_machine(commands: DataFrame, keys: Sequence[str], order: str, comm
     )
     per = commands.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(command).alias("c")))).alias("cs"))
     got = F.aggregate("cs", F.struct(F.lit(start).alias("state"), F.lit(0).alias("accepted")), fold)
-    return per.select(*keys, got.alias("s")).select(*keys, "s.state", "s.accepted")
+    return per.select(*keys, got.alias("s"), F.size("cs").alias("n")).select(*keys, "s.state", "s.accepted", "n")
+
+
+def run_state_machine(commands: DataFrame, keys: Sequence[str], order: str, command: str, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
+    """The state of each key after its commands in order, and how many were accepted.
+
+    moves: (state, command) -> state; a command without a move from where the key stands is refused.
+    """
+    return _commands_run(commands, keys, order, command, moves, start).drop("n")
+
+
+def refused_commands(commands: DataFrame, keys: Sequence[str], order: str, command: str, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
+    """How many commands of each key run_state_machine() refuses."""
+    return _commands_run(commands, keys, order, command, moves, start).select(*keys, (F.col("n") - F.col("accepted")).alias("refused"))
+
+
+def stored_cells(cells: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], start: Column, cell: Callable[[Column, Column], Column]) -> DataFrame:
+    """What each key has stored after its cells in order: cell(stored, row) gives the value that the next cell finds."""
+    per = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), *cols))).alias("cs"))
+    return per.select(*keys, F.aggregate("cs", start, cell).alias("stored"))
 
 
 def budget_account(usage: DataFrame, keys: Sequence[str], order: Sequence[Column], tokens: str, budget: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import scratch, ship
 from ..functions.text import blocks, render_template, strip_block
+from ..operators import upserts as u
 from ..sources import files as f
 from ..streaming import streams as st
 from .catalog import query
@@ -213,7 +214,11 @@ def _(t):
 
 @query("SM16_late_rejected", "SELECT count(*) AS n FROM events WHERE event_type = 'click' AND value < 50")
 def _(t):
-    return t.events.where("event_type = 'click' AND value < 50").agg(F.count(F.lit(1)).alias("n"))
+    """Each click is an item that starts, fails if its value is below 50, and reports: a failed item's report comes late."""
+    moves = {("pending", "start"): "running", ("running", "fail"): "failed", ("running", "report"): "completed"}
+    commands = F.array(F.lit("start"), F.when(F.col("value") < 50, "fail"), F.lit("report"))
+    given = t.events.where("event_type = 'click'").select("event_id", F.posexplode(commands).alias("o", "c")).where("c IS NOT NULL")
+    return u.refused_commands(given, ["event_id"], "o", "c", moves, "pending").agg(F.coalesce(F.sum("refused"), F.lit(0)).alias("n"))
 
 
 @query("UD1_row_job", "SELECT p_partkey, 'Review ' || p_brand AS task, CAST(length('Review ' || p_brand) AS BIGINT) AS size FROM part")
@@ -237,7 +242,7 @@ def _(t):
 @query("UD3_stored_cells", "SELECT user_id, CAST(sum(event_id) AS BIGINT) AS stored FROM events GROUP BY 1")
 def _(t):
     """Cells that add to a stored value: the value is a fold over a user's cells in order."""
-    return t.events.groupBy("user_id").agg(F.sum("event_id").alias("stored"))
+    return u.stored_cells(t.events, ["user_id"], "event_id", ["event_id"], F.lit(0).cast("long"), lambda stored, x: stored + x["event_id"])
 
 
 @query("UD4_hooks", "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('error', 'click') GROUP BY 1")
