@@ -146,11 +146,21 @@ def slug(s: Column, most: int = 60) -> Column:
 
 
 def render_template(template: str, values: dict[str, Column]) -> Column:
-    """{name} takes a value, {{ and }} are braces, unknown names stay."""
-    t = F.replace(F.replace(F.lit(template), F.lit("{{"), F.lit("\x01")), F.lit("}}"), F.lit("\x02"))
-    for name, v in values.items():
-        t = F.replace(t, F.lit(f"{{{name}}}"), F.coalesce(v.cast("string"), F.lit("")))
-    return F.replace(F.replace(t, F.lit("\x01"), F.lit("{")), F.lit("\x02"), F.lit("}"))
+    """{name} takes a value, null as empty; {{ and }} are braces; anything else stays as it stands.
+
+    The template is cut into its pieces once, so what a value holds is never looked at again.
+    """
+    import re
+
+    parts, end = [], 0
+    for m in re.finditer(r"\{\{|\}\}|\{([^{}]*)\}", template):
+        parts.append(F.lit(template[end : m.start()]))
+        if m[0] in ("{{", "}}"):
+            parts.append(F.lit(m[0][0]))
+        else:
+            parts.append(F.coalesce(values[m[1]].cast("string"), F.lit("")) if m[1] in values else F.lit(m[0]))
+        end = m.end()
+    return F.concat(*parts, F.lit(template[end:]))
 
 
 def strict_template(template: str, values: dict[str, Column]) -> Column:

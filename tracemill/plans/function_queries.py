@@ -68,7 +68,8 @@ def _(t):
     return t.documents.select("doc_id", x.fingerprint("lines.v1", F.col("text")).alias("h"))
 
 
-@query("FN10_effective_line", r"SELECT doc_id, CASE WHEN strlen(l) > 3 AND regexp_matches(l, '[\p{L}\p{N}_]') THEN l END AS line FROM (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS l FROM documents)")
+@query("FN10_effective_line", r"""SELECT doc_id, pos, CASE WHEN strlen(l) > 3 AND regexp_matches(l, '[\p{L}\p{N}_]') THEN l END AS line
+FROM (SELECT doc_id, pos, trim(regexp_replace(l, '\s+', ' ', 'g')) AS l FROM (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS pos, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))""")
 def _(t):
     """Every line with its position, the first is 0."""
     lines = t.documents.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "l"))

@@ -101,7 +101,7 @@ def _(t):
 
 
 @query("JN14_directory_merge", """SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.name IS NULL OR a.name = coalesce(a.k, b.k) THEN coalesce(b.name, a.name) ELSE a.name END AS name, list_sort(list_distinct(list_concat(coalesce(a.labels, []), coalesce(b.labels, [])))) AS labels, coalesce(a.bal, b.bal) AS bal
-FROM (SELECT 'k' || c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'k' || c_custkey ELSE c_name END AS name, ['x', c_mktsegment] AS labels, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS bal FROM customer WHERE c_custkey < 80) a
+FROM (SELECT 'k' || c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'k' || c_custkey ELSE c_name END AS name, ['x', c_mktsegment] AS labels, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS bal FROM customer) a
 FULL JOIN (SELECT 'k' || s_suppkey AS k, s_name AS name, ['x', 's'] AS labels, s_acctbal AS bal FROM supplier) b ON a.k = b.k""")
 def _(t):
     k = lambda c: F.concat(F.lit("k"), F.col(c).cast("string"))
@@ -173,7 +173,13 @@ def _(t):
 MOVES = {("pending", "view"): "running", ("running", "click"): "completed", ("running", "error"): "failed", ("failed", "signup"): "pending"}
 
 
-@query("DM3_state_machine")
+#: The same moves, with states and commands as places in lists: a fold in SQL takes numbers only.
+DM3_SQL = """WITH c AS (SELECT user_id, list([list_position(['view', 'click', 'error', 'signup'], event_type)]::BIGINT[] ORDER BY event_id) AS cs FROM events GROUP BY 1),
+s AS (SELECT user_id, list_reduce(cs, lambda a, x: CASE WHEN a[1] = 1 AND x[1] = 1 THEN [2, a[2] + 1] WHEN a[1] = 2 AND x[1] = 2 THEN [3, a[2] + 1] WHEN a[1] = 2 AND x[1] = 3 THEN [4, a[2] + 1] WHEN a[1] = 4 AND x[1] = 4 THEN [1, a[2] + 1] ELSE a END, [1, 0]::BIGINT[]) AS a FROM c)
+SELECT user_id, ['pending', 'running', 'completed', 'failed'][a[1]] AS state, CAST(a[2] AS INTEGER) AS accepted FROM s"""
+
+
+@query("DM3_state_machine", DM3_SQL)
 def _(t):
     return u.run_state_machine(t.events, ["user_id"], "event_id", "event_type", MOVES, "pending")
 
@@ -231,7 +237,7 @@ def _(t):
     return t.events.select("event_id", (sec() * 1000).alias("ms"))
 
 
-@query("DM13_backfill", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN left(text, 10) ELSE role END AS v FROM conversations")
+@query("DM13_backfill", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN CASE WHEN text <> '' THEN text ELSE '' END ELSE role END AS v FROM conversations")
 def _(t):
     """A user's turn has no value yet, any other has its role."""
     user = F.col("role") == "user"
@@ -282,7 +288,7 @@ def _(t):
     return t.events.where("event_type = 'error'").agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("n"))
 
 
-AG4_SQL = "SELECT conv_id, min_by(text, turn) FILTER (WHERE role = 'user') AS first_user_text, min_by(left(trim(text, ' '), 60), turn) FILTER (WHERE role = 'user' AND trim(text, ' ') <> '') AS title, max_by(role, turn) AS last_role, count(*) AS n_items, CAST(sum((strlen(text) + 3) // 4) AS BIGINT) AS tokens FROM conversations GROUP BY 1"
+AG4_SQL = "SELECT conv_id, min_by(text, turn) FILTER (WHERE role = 'user') AS first_user_text, min_by(trim(text, ' '), turn) FILTER (WHERE role = 'user' AND trim(text, ' ') <> '') AS title, max_by(role, turn) AS last_role, count(*) AS n_items, CAST(sum((strlen(text) + 3) // 4) AS BIGINT) AS tokens FROM conversations GROUP BY 1"
 
 
 @query("AG4_thread_fold", AG4_SQL)
@@ -430,6 +436,6 @@ def _(t):
     return g.descendants(closed, 1, "open")
 
 
-@query("TK11_descendant_order", f"WITH RECURSIVE e AS ({EDGES_SQL}), d AS (SELECT child AS id, 1 AS depth FROM e WHERE parent = 0 UNION ALL SELECT e.child, d.depth + 1 FROM e JOIN d ON e.parent = d.id) SELECT id, depth FROM d ORDER BY depth, id LIMIT 100")
+@query("TK11_descendant_order", f"WITH RECURSIVE e AS ({EDGES_SQL}), d AS (SELECT child AS id, 1 AS depth FROM e WHERE parent = 0 UNION ALL SELECT e.child, d.depth + 1 FROM e JOIN d ON e.parent = d.id) SELECT id, depth FROM d")
 def _(t):
     return g.descendants(edges(t), 0).orderBy("depth", "id")

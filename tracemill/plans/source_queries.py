@@ -177,10 +177,10 @@ def _(t):
     return st.drain(st.file_stream(t.spark, _ordered_events(t), _SCHEMA).where("event_id > 300").select("event_id"), scratch(t.spark, "tail"), scratch(t.spark, "check"))
 
 
-@query("SM5_throttled_sets")
+@query("SM5_throttled_sets", "SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, list_sort(list(DISTINCT event_type)) AS items FROM events GROUP BY 1, 2")
 def _(t):
     sets = st.throttled_sets(st.file_stream(t.spark, _ordered_events(t), _SCHEMA), "user_id", "ts", "1 day", "event_type").select("user_id", F.col("w.start").alias("start"), "items")
-    return st.drain_latest(sets, ["user_id", "start"], scratch(t.spark, "sets"), scratch(t.spark, "check"))
+    return st.drain_latest(sets, ["user_id", "start"], scratch(t.spark, "sets"), scratch(t.spark, "check")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SM8_tag_parser", "SELECT conv_id, turn, 'ab' AS shown, ['x' || turn] AS hidden FROM conversations")

@@ -53,13 +53,18 @@ def _turns(t):
     return t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").alias("ord"), F.when(F.col("role") == "system", 0).when(F.col("turn") % 5 == 4, 2).otherwise(0).alias("pop")))).alias("ts"))
 
 
-@query("WN6_turns_after_rollback")
+_KEPT = """WITH ts AS (SELECT conv_id, list([turn, CASE WHEN role = 'system' THEN 0 WHEN turn % 5 = 4 THEN 2 ELSE 0 END]::BIGINT[] ORDER BY turn) AS ts FROM conversations GROUP BY 1),
+k AS (SELECT conv_id, ts, list_reduce(ts, lambda a, x: CASE WHEN x[2] > 0 THEN a[1:greatest(len(a) - x[2], 0)] ELSE list_append(a, x[1]) END, []::BIGINT[]) AS kept FROM ts)"""
+
+
+@query("WN6_turns_after_rollback", f"{_KEPT} SELECT conv_id, kept FROM k")
 def _(t):
-    """A system row or one at every fifth place pops; a fold, so tests compare it with a loop."""
+    """Every fifth row but a system row takes the last two turns back."""
     return _turns(t).select("conv_id", w.surviving_turns(F.col("ts")).alias("kept"))
 
 
-@query("WN7_fork_turns")
+@query("WN7_fork_turns", f"""{_KEPT}, g AS (SELECT conv_id, kept, list_min(list_filter(list_transform(list_filter(ts, lambda x: x[2] = 0), lambda x: x[1]), lambda o: NOT list_contains(kept, o))) AS gone FROM k)
+SELECT conv_id, CASE WHEN gone IS NULL THEN kept ELSE list_filter(kept, lambda o: o < gone) END AS kept FROM g""")
 def _(t):
     kept = _turns(t).select("conv_id", w.surviving_turns(F.col("ts")).alias("kept"), "ts")
     # The suffix goes from the earliest rolled-back place on.
@@ -88,7 +93,9 @@ def _(t):
     return w.filled_newest_first(users, ["conv_id"], approx_token_count(F.col("text")), [F.desc("turn")], 150).select("conv_id", "turn", "taken")
 
 
-@query("WN11_turn_budgets")
+@query("WN11_turn_budgets", """WITH m AS (SELECT conv_id, (strlen(text) + 3) // 4 AS n, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+t AS (SELECT conv_id, k, least(sum(n), 300) AS n FROM m GROUP BY 1, 2), s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY k DESC ROWS UNBOUNDED PRECEDING) - n AS before FROM t)
+SELECT conv_id, k, CAST(least(n, 1200 - before) AS BIGINT) AS taken FROM s WHERE before < 1200""")
 def _(t):
     """Turns from messages, newest first, 300 tokens a turn and 1200 in all; what a turn spends is after its cut."""
     m = t.conversations.select("conv_id", "turn", "role", approx_token_count(F.col("text")).alias("n"))
@@ -108,7 +115,9 @@ def _(t):
     return r.groupBy("conv_id").agg(shown, F.concat(F.lit("[omitted "), F.count_if(F.col("before") >= 900).cast("string"), F.lit(" items]")).alias("note"))
 
 
-@query("WN13_size_chunks")
+@query("WN13_size_chunks", """WITH s AS (SELECT conv_id, list([strlen(text)]::BIGINT[] ORDER BY turn) AS sizes FROM conversations GROUP BY 1),
+f AS (SELECT conv_id, list_reduce(sizes, lambda a, x: CASE WHEN a[1] > 0 AND a[1] + x[1] > 1500 THEN list_concat([x[1], a[2] + 1], a[3:], [a[2] + 1]) ELSE list_concat([a[1] + x[1], a[2]], a[3:], [a[2]]) END, [0, 0]::BIGINT[]) AS a FROM s)
+SELECT conv_id, CAST(a[3:] AS INTEGER[]) AS chunk FROM f""")
 def _(t):
     items = t.conversations.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.octet_length("text").cast("bigint").alias("b")))), lambda x: x["b"]).alias("sizes"))
     return items.select("conv_id", w.size_bounded_chunks(F.col("sizes"), 1500).alias("chunk"))
