@@ -3,16 +3,18 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.parity import connect, same
-from tracemill.llm import bpe, chat, components, decontaminate, fm_index, jaccard_join, quality_model, quality_rules, queries, sharding, suffix_dedup, toxicity, url_filter
+from tracemill.llm import bpe, chat, common, components, decontaminate, fm_index, jaccard_join, quality_model, quality_rules, queries, sharding, suffix_dedup, toxicity, url_filter
 
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
 #: Nulls, empty and blank texts, repeated rows, equal ids, a very long text, and columns that clash with ours.
@@ -194,7 +196,7 @@ def test_repeats_against_brute_force(spark, alphabet, seed):
     parts = [text(70) for _ in range(6)]
     texts = [text(rng.randrange(0, 60)) + rng.choice(parts)[rng.randrange(40) :] + text(rng.randrange(0, 60)) for _ in range(60)] + [None, "", parts[0], parts[0]]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted(map(tuple, suffix_dedup.remove_repeats(d, width=24, gram=8).collect()))
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(d, unit=suffix_dedup.Unit("bytes", 24, 8, 1)).collect()))
     assert [(a, b, c, bytes(k)) for _, a, b, c, k in got] == brute_repeats(texts, 24)
 
 
@@ -207,7 +209,7 @@ def test_large_hash_groups_meet_level_by_level(spark, monkeypatch):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     try:
-        got = sorted(map(tuple, suffix_dedup.remove_repeats(d, width=50, gram=16).collect()))
+        got = sorted(map(tuple, suffix_dedup.remove_repeats(d, unit=suffix_dedup.Unit("bytes", 50, 16, 1)).collect()))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert [(a, b, c, bytes(k)) for _, a, b, c, k in got] == brute_repeats(texts, 50)
@@ -222,18 +224,106 @@ def test_repeats_of_odd_rows(docs, none):
 
 
 def test_long_texts_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PART", 100)
+    """Windows that start in one part and end in the next are found; PART is sent along as the workers' own value."""
     rng = random.Random(2)
-    texts = ["".join(rng.choice("abcd") for _ in range(700)) for _ in range(4)]
-    texts.append(texts[0][150:420] + texts[1][60:300])
-    got = sorted((i, *r) for i, t in enumerate(texts) for r in [(len(list(suffix_dedup._runs_of(_batch(t), 40, 8))),)])
-    assert all(n > 1 for _, n in got)
+    old, texts = suffix_dedup.PART, ["".join(rng.choice("abcd") for _ in range(suffix_dedup.PART + 900)) for _ in range(2)]
+    texts.append(texts[0][old - 260 : old + 240] + texts[1][old - 20 : old + 300] + "tail")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(d, unit=suffix_dedup.Unit("bytes", 100, 16, 1)).collect()))
+    want = brute_repeats(texts, 100)
+    assert [(a, b, c, bytes(k)) for _, a, b, c, k in got] == want and all(w[1] for w in want)
+
+
+@pytest.mark.parametrize("width, step", [(24, 1), (13, 1), (24, 8)])
+def test_family_of_suffix_arrays(width, step):
+    """Many batches, bytes of all values: what is found again is what a set of windows says."""
+    rng = random.Random(width + step)
+    symbol = lambda: bytes([0, 255, rng.randrange(2)][rng.randrange(3)] for _ in range(1)) if step == 1 else rng.choice([b"\0" * 8, b"\xff" * 8, b"abcdefgh"])
+    strings = [b"".join(symbol() for _ in range(rng.randrange(0, 40))) for _ in range(160)]
+    seen = Counter(s[i : i + width] for s in strings for i in range(0, len(s) - width + 1, step))
+    family, k = suffix_dedup.Family(width, step), 0
+    while k < len(strings):
+        n = rng.randrange(1, 12)
+        family.add(np.arange(k, min(k + n, len(strings))), strings[k : k + n])
+        k += n
+    got = {(s, i) for s, a, b in family.found() for i in range(a, b - width + 1, step)}
+    assert got == {(s, i) for s, x in enumerate(strings) for i in range(0, len(x) - width + 1, step) if seen[x[i : i + width]] > 1}
+    sizes = [len(x.data) for x in family.levels]
+    assert sizes == sorted(sizes, reverse=True) and len(sizes) < 9
+
+
+def test_time_of_the_family_is_near_linear():
+    rng = np.random.default_rng(3)
+    took = []
+    for batches in (4, 16):
+        family = suffix_dedup.Family(400)
+        data = [[rng.integers(97, 101, 550, dtype=np.uint8).tobytes() for _ in range(60)] for _ in range(batches)]
+        began = time.process_time()
+        for b, strings in enumerate(data):
+            family.add(np.arange(60) + 60 * b, strings)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5  # quadratic time would be 16 times
+
+
+def brute_words(texts, width):
+    """What is left of each text's words when those under windows that start elsewhere too are gone."""
+    ws = [(t or "").split() for t in texts]
+    seen = Counter(tuple(w[i : i + width]) for w in ws for i in range(len(w) - width + 1))
+    out = []
+    for w in ws:
+        gone = set()
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i : i + width])] > 1:
+                gone |= set(range(i, i + width))
+        out.append([x for i, x in enumerate(w) if i not in gone])
+    return out
+
 
+@pytest.mark.parametrize("most", [800, 3])
+def test_repeated_words_against_brute_force(spark, monkeypatch, most):
+    """With groups of three at most, contexts are divided until they fit."""
+    monkeypatch.setattr(suffix_dedup, "HOT", most)
+    rng = random.Random(11)
+    some = lambda n: " ".join(rng.choice(["é", "bb", "ccc", "x\ufffd"]) + str(rng.randrange(9)) for _ in range(n))
+    core, passage = some(7), some(30)
+    texts = [some(rng.randrange(0, 12)) + "\n" + core + " " + some(rng.randrange(0, 12)) for _ in range(60)]
+    texts += [some(5) + " " + passage + "\t" + some(4) for _ in range(8)] + [texts[0], None, "", passage]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in suffix_dedup.drop_repeats(d, unit=suffix_dedup.Unit("words", 9, 3, 8)).orderBy("doc_id").collect()]
+    assert [(t or "").split() for t in got] == brute_words(texts, 9)
+    assert [t for t, old in zip(got, texts, strict=True) if old is None] == [None]
+    left = [t for t, old in zip(got, texts, strict=True) if t == old]
+    assert any("\ufffd" in (t or "") for t in left)
 
-def _batch(t):
-    import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([t.encode()])], names=["id", "mark", "data"])
+@pytest.mark.parametrize("most", [800, 4])
+def test_divided_groups_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "HOT", most)
+    rng = random.Random(21)
+    core = "the same thirty bytes in them all"
+    some = lambda n: "".join(rng.choice("xyz") for _ in range(n))
+    left, right = [some(30) for _ in range(6)], [some(30) for _ in range(6)]
+    texts = [rng.choice([*left, some(30)]) + core + rng.choice([*right, some(30)]) for _ in range(250)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(d, unit=suffix_dedup.Unit("bytes", 50, 16, 1)).collect()))
+    assert [(a, b, c, bytes(k)) for _, a, b, c, k in got] == brute_repeats(texts, 50)
+
+
+def test_many_documents_meet_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_SENT", 0)
+    texts = ["one two three four five six seven eight nine ten " * 3 + str(i % 3) for i in range(9)] + ["other", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(d, unit=suffix_dedup.Unit("bytes", 50, 16, 1)).collect()))
+    assert [(a, b, c, bytes(k)) for _, a, b, c, k in got] == brute_repeats(texts, 50)
+
+
+def test_cut_texts_keep_their_characters(spark):
+    """By bytes: characters that a span cuts stay, also a replacement character of the text; null stays null."""
+    same = "é日" * 30
+    texts = ["\ufffda" + same + "b\ufffd", "é" + same + "日c", None, "\ufffd"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in suffix_dedup.drop_repeats(d, unit=suffix_dedup.Unit("bytes", 41, 16, 1)).orderBy("doc_id").collect()]
+    assert got == ["\ufffdab\ufffd", "é日c", None, "\ufffd"]
 
 
 # --- chat formatting

@@ -1,7 +1,7 @@
-"""Content-defined anchors of byte windows.
+"""Content-defined anchors of windows of symbols: bytes, or 64-bit hashes of words.
 
-Every window of ``width`` bytes has one anchor: of its ``gram``-byte substrings the one with the smallest
-hash, the leftmost of equals. It depends on the window's bytes alone, so equal windows have equal
+Every window of ``width`` symbols has one anchor: of its ``gram``-symbol substrings the one with the smallest
+hash, the leftmost of equals. It depends on the window's symbols alone, so equal windows have equal
 anchors at equal places. Windows of one anchor follow each other, and are handled as one run.
 """
 
@@ -32,13 +32,13 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of each gram-byte substring; one prefix sum serves them all."""
+    """A hash of each gram-symbol substring; one prefix sum serves them all."""
     n = len(data)
     if n < gram:
         return np.zeros(0, np.uint64)
     up, down = _powers_to(n + 1)
     s = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[:n], out=s[1:])
+    np.cumsum((_BYTES[data] if data.itemsize == 1 else data) * up[:n], out=s[1:])
     return mixed((s[gram:] - s[:-gram]) * down[: n - gram + 1])
 
 

@@ -42,6 +42,20 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes that a broadcast may take.
+MOST_SENT = 32_000_000
+_FIXED = {"bigint": 8, "int": 4, "double": 8, "boolean": 1}
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if all its rows take MOST_SENT bytes at most. Columns of fixed width only, so that is certain.
+
+    A row of a hash table has 48 bytes besides its columns: header, pointers and load.
+    """
+    row = 48 + sum(max(8, _FIXED[f.dataType.simpleString()]) for f in df.schema)
+    return F.broadcast(df) if df.count() * row <= MOST_SENT else df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A to Z only."""
     return F.translate(c, UPPER, UPPER.lower())
