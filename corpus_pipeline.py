@@ -21,7 +21,12 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the quality threshold go."""
+    """Documents under the quality threshold go.
+
+    Null and wordless texts are scored as empty ones; repeated rows and ties are judged alike, a score at the
+    threshold stays; without labels of both kinds all stay; an empty table stays empty; further columns stay,
+    also those named like the operator's own.
+    """
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
     return quality_model.keep_good(docs, labels)
 
@@ -29,23 +34,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays.
 
-    Rows of the same id are one document; documents without a shingle are nobody's duplicate.
+    Rows of the same id are one document and stay or go together; a null id is the smallest. Null, empty and wordless
+    texts are nobody's duplicate. An empty table stays empty; further columns stay.
     """
     return jaccard_join.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under strings of 400 bytes that also start elsewhere are cut out of the texts."""
+    """Words under runs of 50 words that also start elsewhere are cut out of the texts, every copy of them.
+
+    The width is the stage's own, in words: a passage of 50 words often has less than the 400 bytes of op4.
+    Null stays null, texts of fewer words and empty ones stay as they are; repeated rows are each other's repeats;
+    an empty table stays empty; further columns stay.
+    """
     return _sized(suffix_dedup.drop_repeats(docs))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out of the texts."""
+    """Benchmark passages are cut out of the texts.
+
+    Null stays null; repeated rows are cut alike; an empty benchmark cuts nothing, an empty table stays empty;
+    further columns stay, also those named like the operator's own.
+    """
     return _sized(decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_tokens and digests of the ids and of the bytes they decode to."""
+    """doc_id, lang, source, n_tokens and digests of the ids and of the bytes they decode to.
+
+    Null encodes as an empty text, to no tokens; a row for each row; an empty table gives none; further columns go.
+    """
     return bpe.digests(docs, *bpe.multilingual(), ["doc_id", "lang", "source"])
 
 

@@ -13,7 +13,8 @@ comes from counters over all documents, and errs at no cost but time.
 Before that, a quick first look links most near copies: each variant is verified against a few pivots, one
 for each of its BANDS smallest hashes. What that links is contracted to components, and a posting list
 then offers all its pairs but those within one component: a list of thousands of near copies is mostly
-one component by then and offers little. No link between components is lost.
+one component by then and offers little. Lists that still hold several components are dealt into blocks
+that are compared two at a time. No link between components is lost.
 
 Defined results: null, empty and wordless texts have empty sets and link with nothing, not even with
 each other; fewer words than ``width`` make one shingle; rows with the same id are one node; a null id
@@ -29,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, written
+from .common import discard, map_arrow, small, table, written
 from .components import components
 from .shingles import Shingler
 
 #: Counters of the sketch that tells common shingles, and how many of them may be called common.
 COUNTERS, MOST_COMMON = 1 << 23, 1 << 18
-#: Ids that are broadcast to pick texts; more are joined by shuffle.
-MOST_BROADCAST = 1_000_000
+#: Postings of a list, or of a block of a longer one, that meet in one task.
+LONG = 2000
 NULL_ID = -(1 << 63)
 #: Pivots a variant is compared with at first.
 BANDS = 6
@@ -70,12 +71,10 @@ def common_counters(docs: DataFrame, width: int) -> np.ndarray:
         high = high[np.argsort(-seen[high], kind="stable")[:MOST_COMMON]]
         yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(seen[high].astype(np.int64))], names=["counter", "n"])
 
-    # Few partitions, of many documents each: two for a core.
-    merged = docs.select("text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
-    high = map_arrow(merged, run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    top = high.orderBy(F.desc("n"), "counter").limit(MOST_COMMON).select("counter").collect()
+    high = map_arrow(docs.select("text"), run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    top = high.orderBy(F.desc("n"), "counter").limit(MOST_COMMON).select("counter").toArrow()
     flags = np.zeros(COUNTERS, bool)
-    flags[np.array([r.counter for r in top], np.int64)] = True
+    flags[top.column("counter").to_numpy()] = True
     return flags
 
 
@@ -114,7 +113,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int, t: int) -> DataFra
 
 
 def _lists(batches):
-    """Posting lists of a partition sorted by shingle: numpy columns of whole lists, many at a time."""
+    """Posting lists of a partition sorted by list: numpy columns of whole lists, many at a time."""
     left = None
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -134,20 +133,47 @@ def _bounds(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
 
 
-def _sorted_by_shingle(postings: DataFrame) -> DataFrame:
-    return postings.repartition("shingle").sortWithinPartitions("shingle", "n", "gid")
-
-
 def shared(postings: DataFrame) -> DataFrame:
-    """The postings of lists with two groups or more."""
+    """The postings of lists with two groups or more; a posting is held back until the next one is seen."""
+    names = ["shingle", "n", "gid"]
 
     def run(batches):
-        for cols in _lists(batches):
-            b = _bounds(cols[0])
-            keep = np.repeat(np.diff(b) > 1, np.diff(b))
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["shingle", "n", "gid"])
-
-    return map_arrow(_sorted_by_shingle(postings.select("shingle", "n", "gid")), run, "shingle long, n long, gid long")
+        held, before = None, None  # the last posting, and the shingle of the one before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                cols = [np.concatenate([[x], c]) for x, c in zip(held, cols, strict=True)]
+            same = cols[0][1:] == cols[0][:-1]
+            keep = np.concatenate([[before is not None and before == cols[0][0]], same])
+            keep[:-1] |= same
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep[:-1]]) for c in cols], names=names)
+            if len(cols[0]) > 1:
+                before = cols[0][-2]
+            held = [c[-1] for c in cols]
+        if held is not None and before is not None and before == held[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in held], names=names)
+
+    return map_arrow(postings.select(*names).repartition("shingle").sortWithinPartitions("shingle"), run, "shingle long, n long, gid long")
+
+
+def _cells(postings: DataFrame) -> DataFrame:
+    """postings, in lists whose pairs are still to be looked at, with the list's number and the posting's block there.
+
+    Lists within one component go. A list longer than LONG is dealt into blocks, and every two blocks make a list of
+    their own, so each pair meets in one list and a list has 2 * LONG postings at most. In a list of two blocks only
+    pairs across them count; block is -1 where all do.
+    """
+    lists = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    lists = lists.where(f"lo <> hi OR lo = {NULL_ID}").select("shingle", F.ceil(F.col("k") / LONG).cast("int").alias("blocks"))
+    rows = postings.join(lists, "shingle").withColumn("own", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.col("shingle")).otherwise(F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")))
+    mixed = F.when(F.col("own") != F.col("other"), F.col("own"))
+    # In the list of one block with itself all pairs count; else the own block tells the two apart.
+    rows = rows.select(key.alias("list"), "n", "gid", "comp", "last", "shared", "place", "b0", "b1", F.coalesce(mixed, F.lit(-1)).alias("block"))
+    return rows.repartition("list").sortWithinPartitions("list", "n", "gid")
 
 
 def _need(x, y, n: np.ndarray, last: np.ndarray, t: int) -> np.ndarray:
@@ -193,16 +219,16 @@ def pivot_pairs(variants: DataFrame, central: DataFrame, t: int) -> DataFrame:
 def remaining_pairs(postings: DataFrame, t: int) -> DataFrame:
     """From each list: all pairs of fitting sizes that are not known to be in one component.
 
-    postings also have comp, the group's component (NULL_ID where its variants are in several), last, the
+    postings: shingle, n, gid, comp, the group's component (NULL_ID where its variants are in several), last, the
     number of the group's postings, the posting's place among them, and two words with a bit for each of
     the group's postings. Two groups that must share `need` of their postings share one of the first
     (number - need + 1) of each; and every bit of one that the other lacks is a posting they don't share.
     """
 
     def run(batches):
-        for shingle, n, gid, comp, last, have, place, b0, b1 in _lists(batches):
+        for key, n, gid, comp, last, have, place, b0, b1, block in _lists(batches):
             b0, b1 = b0.view(np.uint64), b1.view(np.uint64)  # bits of signed numbers are counted without the sign
-            b = _bounds(shingle)
+            b = _bounds(key)
             lone = comp == NULL_ID
             xs, ys, held = [], [], 0
             for lo, hi in zip(b[:-1].tolist(), b[1:].tolist(), strict=True):
@@ -212,7 +238,7 @@ def remaining_pairs(postings: DataFrame, t: int) -> DataFrame:
                 ends = np.searchsorted(n[lo:hi], 100 * n[lo:hi] // t, side="right")
                 for k in range(hi - lo - 1):
                     r = np.arange(k + 1, ends[k])
-                    r = r[(c[r] != c[k]) | lone[lo + k]] if len(r) else r
+                    r = r[((c[r] != c[k]) | lone[lo + k]) & ((block[lo + r] < 0) | (block[lo + r] != block[lo + k]))] if len(r) else r
                     if len(r):
                         x, y = lo + k, lo + r
                         need, bits = _need(x, y, n, last, t), np.bitwise_count
@@ -232,15 +258,42 @@ def remaining_pairs(postings: DataFrame, t: int) -> DataFrame:
                 x, y = np.concatenate(xs), np.concatenate(ys)
                 yield _distinct(x, y, n, gid, last, t)
 
-    return map_arrow(_sorted_by_shingle(postings), run, _PAIRS)
+    return map_arrow(_cells(postings), run, _PAIRS)
+
+
+def inner_postings(docs: DataFrame, members: DataFrame, common: np.ndarray, width: int, t: int) -> DataFrame:
+    """Postings for pairs inside groups: members (gid, vid, comp) share their prefix and size.
+
+    What two of them must share besides the prefix lies in the rest of their sets, and the prefix principle
+    holds there again: a posting for each shingle of the rest's own prefix, in lists of the group.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
+    rows = docs.select("id", "text").join(small(members.select(F.col("vid").alias("id"), "gid", "comp")), "id").groupBy("id", "gid", "comp").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        s, common = Shingler(width), np.unpackbits(sent.value).view(bool)
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+            out = []
+            for text in batch.column(3).to_pylist():
+                h = s.set_of(text)
+                late = common[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                p = prefix_length(len(h), t)
+                must = max(1, -(-2 * t * len(h) // (100 + t)) - p)
+                out.append((len(h), np.concatenate([h[~late], h[late]])[p : len(h) - must + 1].view(np.int64)))
+            k = np.repeat(np.arange(len(out)), [len(x) for _, x in out])
+            n = np.array([n for n, _ in out], np.int64)[k]
+            cols = [c.take(pa.array(k)) for c in batch.columns[:3]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(np.concatenate([x for _, x in out]))], names=["vid", "gid", "comp", "n", "s"])
+
+    found = map_arrow(rows, run, "vid long, gid long, comp long, n long, s long")
+    zero = F.lit(0).cast("long")
+    return found.select(F.xxhash64("gid", "s").alias("shingle"), "n", F.col("vid").alias("gid"), "comp", F.lit(0.0).alias("last"), F.lit(1 << 40).alias("shared"), zero.alias("place"), zero.alias("b0"), zero.alias("b1"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, t: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole sets are similar enough."""
     pairs = written(pairs.select("a", "b").distinct(), "candidates")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    if ids.count() <= MOST_BROADCAST:
-        ids = F.broadcast(ids)
+    ids = small(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
 
     def run(batches):
         s = Shingler(width)
@@ -254,14 +307,18 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, t: int) -> DataFrame
     a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     links = pairs.join(a, "a").join(b, "b").where(100 * both >= t * (F.size("sa") + F.size("sb") - both))
-    return written(links.select("a", "b").distinct(), "links")
+    out = written(links.select("a", "b"), "links")
+    discard(pairs)
+    discard(sets)
+    return out
 
 
 def link_documents(docs: DataFrame, id_col="doc_id", text_col="text", width=5, threshold=80) -> DataFrame:
     """id, n_shingles, component_id for every row of docs."""
     t = threshold
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    sets = written(prefixes(docs, common_counters(docs, width), width, t), "prefixes")
+    common = common_counters(docs, width)
+    sets = written(prefixes(docs, common, width, t), "prefixes")
     # A variant has one set; a group has variants of one prefix and size. Each is named by its smallest id.
     some = sets.where("n > 0")
     variants = some.groupBy("sig", "n").agg(F.min("id").alias("vid"), F.min("psig").alias("psig"), F.min("last").alias("last"), F.min("mins").alias("mins"))
@@ -293,9 +350,13 @@ def link_documents(docs: DataFrame, id_col="doc_id", text_col="text", width=5, t
     left = comp.select(F.col("gid").alias("ga"), F.col("vid").alias("a"), F.col("comp").alias("ca"))
     right = comp.select(F.col("gid").alias("gb"), F.col("vid").alias("b"), F.col("comp").alias("cb"))
     across = rest.join(left, "ga").join(right, "gb").where("ca <> cb").select("a", "b")
-    many = comp.where("k > 1")
-    within = many.select("gid", F.col("vid").alias("a"), F.col("comp").alias("ca")).join(many.select("gid", F.col("vid").alias("b"), F.col("comp").alias("cb")), "gid")
-    more = verified(across.unionByName(within.where("a < b AND ca <> cb").select("a", "b")), docs, width, t)
+    # Inside groups whose variants are in several components.
+    split = comp.where("k > 1").groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+    split = written(comp.join(split, "gid", "left_semi").select("gid", "vid", "comp"), "split-groups")
+    if not split.isEmpty():
+        inside = remaining_pairs(inner_postings(docs, split, common, width, t), t)
+        across = across.unionByName(inside.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+    more = verified(across, docs, width, t)
     final = components(links.unionByName(more))
 
     label = variants.join(final, F.col("vid") == F.col("node"), "left").select("sig", "n", F.coalesce("component", "vid").alias("label"))
@@ -307,12 +368,10 @@ def link_documents(docs: DataFrame, id_col="doc_id", text_col="text", width=5, t
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", width=5, threshold=80) -> DataFrame:
     """docs without those that a smaller id's document is linked to; columns as in docs.
 
-    Rows that go are picked by id: in a broadcast while their number is bounded, else by shuffle.
+    Rows that go are picked by id: in a broadcast while they take few bytes, else by shuffle.
     """
     out = link_documents(docs.select(id_col, text_col), id_col, text_col, width, threshold)
-    gone = written(out.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    if gone.count() <= MOST_BROADCAST:
-        gone = F.broadcast(gone)
+    gone = small(written(out.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 

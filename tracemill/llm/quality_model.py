@@ -77,9 +77,11 @@ class Ranking:
         z, rng = self._scaled(x), np.random.default_rng(9)
         a, b = np.flatnonzero(good), np.flatnonzero(~good)
         pairs = min(MOST_PAIRS, 20 * len(good))
-        d = z[rng.choice(a, pairs)] - z[rng.choice(b, pairs)]
+        d = z[rng.choice(a, pairs)]
+        d -= z[rng.choice(b, pairs)]
         flip = rng.random(pairs) < 0.5
-        self.weights = fit_logistic(np.where(flip[:, None], -d, d), (~flip).astype(float), 1e-3)
+        d *= np.where(flip, -1.0, 1.0)[:, None]
+        self.weights = fit_logistic(d, (~flip).astype(float), 1e-3)
         s = z @ self.weights
         cuts = np.quantile(s, np.linspace(0, 1, 1001))
         errors = np.array([((s >= c) != good).sum() for c in cuts])
