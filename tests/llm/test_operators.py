@@ -287,7 +287,7 @@ def test_repeated_words_against_brute_force(spark, monkeypatch, most):
     some = lambda n: " ".join(rng.choice(["é", "bb", "ccc", "x\ufffd"]) + str(rng.randrange(9)) for _ in range(n))
     core, passage = some(7), some(30)
     texts = [some(rng.randrange(0, 12)) + "\n" + core + " " + some(rng.randrange(0, 12)) for _ in range(60)]
-    texts += [some(5) + " " + passage + "\t" + some(4) for _ in range(8)] + [texts[0], None, "", passage]
+    texts += [some(5) + " " + passage + "\t" + some(4) for _ in range(8)] + [texts[0], None, "", passage, "la " * 40, "x y " * 30 + "la " * 12]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r.text for r in suffix_dedup.drop_repeats(d, unit=suffix_dedup.Unit("words", 9, 3, 8)).orderBy("doc_id").collect()]
     assert [(t or "").split() for t in got] == brute_words(texts, 9)

@@ -224,12 +224,18 @@ def _runs_of(batch: pa.RecordBatch, unit: Unit, symbols):
             first = first + part
             digest = [xxhash.xxh3_128_digest(buf[size * i : size * (i + k + width - 1)], seed=o) for i, k, o in zip(first.tolist(), count.tolist(), off.tolist(), strict=True)]
             two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            yield doc, mark, first, count, off, h.view(np.int64), two[:, 0], two[:, 1]
+            # What repeats with a short period has one context over and over: a row for all of these.
+            new = np.flatnonzero(np.concatenate([[True], (two[1:] != two[:-1]).any(axis=1) | (count[1:] != count[:-1])]))
+            times = np.diff(np.append(new, len(count)))
+            yield doc, mark, first[new], count[new], times, off[new], h[new].view(np.int64), two[new, 0], two[new, 1]
 
 
 def _anchor_table(docs: DataFrame, unit: Unit) -> DataFrame:
-    """A row for each run of windows: first and n_windows in symbols, off the anchor's place in the first one."""
-    names = ["id", "mark", "first", "n_windows", "off", "h", "c1", "c2"]
+    """A row for each run of windows, or for as many as `times` runs of one context that follow each other.
+
+    first and n_windows are in symbols, off is the anchor's place in the first window.
+    """
+    names = ["id", "mark", "first", "n_windows", "times", "off", "h", "c1", "c2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = _symbols(unit)
@@ -241,11 +247,11 @@ def _anchor_table(docs: DataFrame, unit: Unit) -> DataFrame:
                 n = [len(r[2]) for r in rows]
                 ids = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n)))
                 cols = [ids, pa.array(np.repeat(np.array([r[1] for r in rows], np.int64), n))]
-                for k, kind in enumerate((np.int64, np.int32, np.int32, np.int64, np.int64, np.int64), 2):
+                for k, kind in enumerate((np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.int64), 2):
                     cols.append(pa.array(np.concatenate([r[k] for r in rows]).astype(kind)))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return map_arrow(docs.select("id", "mark", "data"), run, "id long, mark long, first long, n_windows int, off int, h long, c1 long, c2 long")
+    return map_arrow(docs.select("id", "mark", "data"), run, "id long, mark long, first long, n_windows int, times int, off int, h long, c1 long, c2 long")
 
 
 _CONTEXT = "h long, n long, id long, mark long, first long, n_windows int, off int, gram int, context binary"
@@ -350,10 +356,12 @@ def _halves(contexts: DataFrame, unit: Unit) -> DataFrame:
 
 def _divided(contexts: DataFrame, unit: Unit) -> tuple[DataFrame, list[DataFrame]]:
     """contexts in groups of HOT at most, and the spans that are settled on the way."""
-    settled = []
+    settled, done = [], []
     while True:
         hot = written(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("h"), "hot-anchors")
         if hot.isEmpty():
+            for more in done:
+                contexts = contexts.unionByName(more)
             return contexts, settled
         both = written(_halves(contexts.join(small(hot), "h", "left_semi"), unit), "halves")
         loc = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "first")).alias("loc")
@@ -364,7 +372,8 @@ def _divided(contexts: DataFrame, unit: Unit) -> tuple[DataFrame, list[DataFrame
         settled.append(both.where("n = 1").join(small(often), ["h", "c1", "c2"], "left_semi").select("id", "mark", F.col("first").alias("start"), ends))
         several = same.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
         rest = same.join(small(several), "h", "left_semi").select("h", F.when(F.col("k") > 1, F.lit(2).cast("long")).otherwise(F.col("n")).alias("n"), "loc.id", "loc.mark", "loc.first", "n_windows", "off", "gram", "context")
-        contexts = written(contexts.join(small(hot), "h", "left_anti").unionByName(rest), "contexts-divided")
+        done.append(contexts.join(small(hot), "h", "left_anti"))
+        contexts = written(rest, "contexts-divided")
 
 
 def _with(docs: DataFrame, per_doc: DataFrame, column: str) -> tuple[DataFrame, DataFrame | None]:
@@ -385,14 +394,14 @@ def _with(docs: DataFrame, per_doc: DataFrame, column: str) -> tuple[DataFrame,
 def repeated_spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     """id, mark, spans array<struct<start, end>> of symbols (unordered, they may overlap) of docs of (id, mark, data)."""
     a = written(_anchor_table(docs, unit), "anchors")
-    same = a.groupBy("h").agg(F.count(F.lit(1)).alias("k"), ((F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))).alias("mixed"))
+    same = a.groupBy("h").agg(F.sum("times").alias("k"), ((F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))).alias("mixed"))
     same = written(same.where("k > 1").select("h", "mixed"), "repeated-anchors")
     dup = written(a.join(small(same), "h"), "repeated-runs")
     loc = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "first", "n_windows", "off")).alias("loc")
-    contexts = written(dup.groupBy("h", "mixed", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), loc), "contexts")
+    contexts = written(dup.groupBy("h", "mixed", "c1", "c2").agg(F.sum("times").alias("n"), loc), "contexts")
     often = contexts.where("n > 1").select("c1", "c2")
     whole = dup.join(small(often), ["c1", "c2"], "left_semi")
-    whole = whole.select("id", "mark", F.col("first").alias("start"), (F.col("first") + F.col("n_windows") + (unit.width - 1)).alias("end"))
+    whole = whole.select("id", "mark", F.col("first").alias("start"), (F.col("first") + F.col("n_windows") * F.col("times") + (unit.width - 1)).alias("end"))
 
     wanted = contexts.where("mixed").groupBy(F.col("loc.id").alias("id"), F.col("loc.mark").alias("mark")).agg(
         F.collect_list(F.struct(F.col("loc.first").alias("first"), F.col("loc.n_windows").alias("n_windows"), F.col("loc.off").alias("off"), "h", "n")).alias("wanted")
