@@ -339,6 +339,14 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(d.where("false")).count() == 0
 
 
+def test_long_texts_and_conversations(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"t{i} <|im_end|>") for i in range(3000)] + [(2, 0, "user", LONG + "</s>" + LONG), (2, 1, "assistant", LONG)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r.back for r in chat.format_conversations(d).select("conv_id", chat.read_back(F.col("formatted")).alias("back")).collect()}
+    for c in (1, 2):
+        assert [tuple(t) for t in out[c]] == [(r[2], r[3]) for r in rows if r[0] == c]
+
+
 # --- Jaccard join
 
 
@@ -425,6 +433,41 @@ def test_shards(spark):
     assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32((t or "").encode())) for i, t in rows)
 
 
+def test_rows_against_a_plain_splitter(spark):
+    """In key order, a text of one copy goes where its middle byte lies; copies go together."""
+    rng = random.Random(13)
+    rows = [(i, "x" * rng.randrange(0, 900) + str(i)) for i in range(3000)] + [(9000 + i, "copy") for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = d.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    groups, total = {}, sum(len(r.text) + 1 for r in keyed)
+    for r in keyed:
+        groups.setdefault(r.h, []).append(r)
+    want, before = {}, 0
+    for h in sorted(groups):
+        size = sum(len(r.text) + 1 for r in groups[h])
+        want |= {r.doc_id: min(7, int((before + size / 2) * 8 // total)) for r in groups[h]}
+        before += size
+    got = sharding.assign_shards(d).collect()
+    assert {r.doc_id: r.shard for r in got} == want
+    for k in range(8):  # slots follow the key
+        ids = [r.doc_id for r in sorted((r for r in got if r.shard == k), key=lambda r: r.slot)]
+        h = {r.doc_id: r.h for r in keyed}
+        assert [h[i] for i in ids] == sorted(h[i] for i in ids)
+
+
+def test_written_shards_have_every_row(spark, docs, tmp_path):
+    """Rows that are alike get a slot each, and two texts of one id their own places."""
+    d = docs.unionByName(docs.where("doc_id = 1")).unionByName(docs.where("doc_id = 3").withColumn("text", F.lit("plumless"))).unionByName(docs.where("doc_id = 3").withColumn("text", F.lit("buckeroo")))
+    sharding.write_shards(d, str(tmp_path / "out"), 3)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    assert sorted(map(str, got.select(*d.columns).collect())) == sorted(map(str, d.collect()))
+    slots = {}
+    for r in got.collect():
+        slots.setdefault(r["_shard"], []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_shards_of_odd_rows(docs, none):
     assert sharding.assign_shards(docs).count() == len(ROWS)
     assert sharding.assign_shards(none).count() == 0
@@ -497,20 +540,96 @@ def test_urls(spark):
 # --- the pipeline
 
 
-def test_pipeline_stages(spark, sf):
-    corpus = pytest.importorskip("corpus_pipeline")
+@pytest.fixture(scope="module")
+def corpus():
+    return pytest.importorskip("corpus_pipeline")
+
+
+def test_near_duplicates_stage(spark, sf, corpus):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = corpus.near_duplicates(spark, docs, sf)
     want = brute_links([(r.doc_id, r.text) for r in docs.collect()])
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
-    cut = {r.doc_id: r.text for r in corpus.repeated_passages(spark, kept, sf).collect()}
-    rows = sorted((r.doc_id, r.text) for r in kept.collect())
-    for (i, _), (_, _, _, left) in zip(rows, brute_repeats([t for _, t in rows], 400), strict=True):
-        assert cut[i] == left.decode("utf-8", "ignore")
+    assert sorted(r.doc_id for r in corpus.near_duplicates(spark, docs, sf).collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+
+
+def test_quality_stage(spark, corpus):
+    """The documents at or above the threshold of a plain fit of the same pairs, in the same order."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    label = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        label[r.doc_id] = min(r.quality, label.get(r.doc_id, 1))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(i for i in text if i in label)
+    ranking = quality_model.Ranking(np.array([quality_model.features(text[i]) for i in ids]), np.array([label[i] == 1 for i in ids]))
+    scores = ranking.probabilities(np.array([quality_model.features(text[i]) for i in sorted(text)]))
+    kept = corpus.quality(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, p in zip(sorted(text), scores, strict=True) if p >= 0.7]
+    good = [i for i in ids if label[i] == 1]
+    left = {r.doc_id for r in kept.collect()}
+    assert sum(i in left for i in good) > 0.95 * len(good)
+
+
+def test_passages_stage(spark, sf, corpus):
+    docs = corpus.near_duplicates(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    extra = " ".join(f"passage{i}" for i in range(55))
+    rows = [(i, (t or "") + " " + extra if i % 9 == 0 else t) for i, t in rows]
+    got = corpus.repeated_passages(spark, spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_chars long"), sf).orderBy("doc_id").collect()
+    assert [(r.text or "").split() for r in got] == brute_words([t for _, t in rows], 50)
+    assert all(r.n_chars == len(r.text) for r in got if r.text is not None) and not any("passage3 " in (r.text or "") for r in got)
+
+
+def test_leaks_stage(spark, sf, corpus):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    gone = corpus.benchmark_leaks(spark, docs, sf)
-    assert gone.columns == docs.columns and sum(a.text != b.text for a, b in zip(docs.orderBy("doc_id").collect(), gone.orderBy("doc_id").collect(), strict=True)) > 0
-    assert items
+    grams = {}
+    for item, t in items:
+        b = words(t)
+        for i in range(max(1, len(b) - 9) if b else 0):
+            grams.setdefault(tuple(b[i : i + 10]), item)
+    sizes = sorted({len(g) for g in grams})
+    got = {r.doc_id: r.text for r in corpus.benchmark_leaks(spark, docs, sf).collect()}
+    cut = 0
+    for r in docs.collect():
+        w = words(r.text)
+        hit = {k for n in sizes for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in grams for k in range(i, i + n)}
+        assert words(got[r.doc_id]) == [x for i, x in enumerate(w) if i not in hit]
+        cut += bool(hit)
+        assert hit or got[r.doc_id] == r.text
+    assert cut
+
+
+def test_tokens_stage(spark, sf, corpus, tokenizer):
+    _, reference = tokenizer
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in corpus.tokens(spark, docs, sf).collect():
+        ids = reference.encode_ordinary(text[r.doc_id])
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(text[r.doc_id].encode()).hexdigest())
+
+
+def test_stages_of_odd_rows(spark, sf, docs, none, corpus):
+    """Null, empty and blank texts, rows and ids that repeat, clashing columns, an empty table."""
+    odd = docs.withColumn("lang", F.lit("x")).withColumn("source", F.lit("y")).withColumn("n_chars", F.lit(7).cast("long"))
+    for name, stage in corpus.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        if name == "benchmark_leaks" or name == "repeated_passages":
+            assert len(rows) == len(ROWS) and [r.text for r in rows if r.doc_id == 2] == [None], name
+            assert [r.text for r in rows if r.doc_id in (3, 4, 6)] == ["", " \n\t ", "tiny"], name
+        if name == "repeated_passages":
+            assert [r.text for r in rows if r.doc_id in (1, None)] == [""] * 3
+        if name == "near_duplicates":
+            # The null id is the smallest of its component; its row stays and the two like it go.
+            assert sorted(str(r.doc_id) for r in rows) == sorted(["None", "2", "3", "4", "5", "6", "7"])
+        assert stage(spark, odd.where("false"), sf).count() == 0, name
+    assert corpus.tokens(spark, odd, sf).count() == len(ROWS) and corpus.tokens(spark, odd.where("false"), sf).count() == 0
+
+
+def test_pipeline(spark, sf, corpus):
     out = corpus.run(spark, sf)
-    assert out.count() > 0 and all(len(r.ids_sha256) == 64 for r in out.collect())
-    assert hashlib.sha256(b"").hexdigest()
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() < n

@@ -7,7 +7,8 @@ neighbouring pair encodes, taken alone, to that same pair; so once the window's
 stand in stable pairs with what lies outside, nothing further out can change.
 
 A piece (one match of the split pattern) is cut into halves down to LEAF bytes, leaves are merged by
-rank, and halves are joined on the way up. Decoding concatenates the tokens' bytes up the same tree.
+rank, and halves are joined on the way up. Decoding concatenates up a tree likewise: runs of RUN tokens, then
+neighbouring ones.
 
 Everything is per document: no shuffle, no state but the vocabulary and bounded caches.
 
@@ -30,6 +31,10 @@ from .common import fresh_names, map_arrow, table
 
 #: Bytes of a piece that are merged directly.
 LEAF = 24
+#: Tokens that decoding joins directly.
+RUN = 512
+#: Above all ranks.
+NO_RANK = 1 << 60
 #: Entries a cache may have before it is emptied.
 CACHE = 150_000
 #: Texts of an Arrow batch encoded at a time.
@@ -55,19 +60,17 @@ class Codec:
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            best = min((r for r in pairs if r is not None), default=None)
-            if best is None:
-                return [ranks[p] for p in parts]
+        get = ranks.get
+        edge = list(range(len(piece) + 1))  # where the parts begin, and the end
+        pairs = [get(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
+        while pairs and (best := min(pairs)) != NO_RANK:
             i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            del edge[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i])
+                pairs[i - 1] = get(piece[edge[i - 1] : edge[i + 1]], NO_RANK)
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1])
+                pairs[i] = get(piece[edge[i] : edge[i + 2]], NO_RANK)
+        return [ranks[piece[a:b]] for a, b in zip(edge, edge[1:], strict=False)]
 
     def stable(self, a: int, b: int) -> bool:
         """Whether the pair, taken alone, encodes to itself."""
@@ -120,7 +123,11 @@ class Codec:
         return ids
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """Runs of tokens are joined, then neighbours, level by level up the tree."""
+        level = [b"".join(map(self.bytes_of.__getitem__, ids[i : i + RUN])) for i in range(0, len(ids), RUN)]
+        while len(level) > 1:
+            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
+        return level[0] if level else b""
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}

@@ -21,9 +21,10 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, fresh_names, table, written
 
-#: Splitters kept in the plan at most; ranges grow in size, not in number, beyond it.
+#: Splitters kept in the plan at most; ranges grow in size, not in number, beyond it. A range is one window task:
+#: of ten billion rows it has 2.4 million of 40 bytes.
 MOST_SPLITTERS = 4095
 #: Sampled keys a range, on average; a range then seldom holds twice its share.
 OVERSAMPLE = 64
@@ -60,15 +61,18 @@ def _splitters(rows: DataFrame, wanted: int, total: int, seed: int) -> list[tupl
     return sorted({(h, t if often[h] > 1 or seed else -(1 << 63)) for h, t in cuts})
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 8, id_col="doc_id", text_col="text", tolerance=0.01) -> DataFrame:
-    """id, size, text_crc32, shard, slot. Slots count from 0 in each shard, in key order."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def assign_shards(docs: DataFrame, n_shards: int = 8, id_col="doc_id", text_col="text", tolerance=0.01, row_col=None) -> DataFrame:
+    """id, size, text_crc32, shard, slot, row. Slots count from 0 in each shard, in key order.
+
+    row is row_col, a number of its own for each row, or one that is given here.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(f"`{id_col}`").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()).alias("row"),
     )
     # Written, for the row numbers must not change afterwards.
     base = written(base.select("doc_id", "size", "text_crc32", "row", F.struct("h", F.xxhash64("doc_id", "row").alias("t")).alias("key")), "shard-rows")
@@ -76,18 +80,19 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, id_col="doc_id", text_col=
     n, total = got.n, got.b or 0
     wanted = int(min(MOST_SPLITTERS + 1, max(8 * n_shards, n // 200_000)))
     splitters = _splitters(base, wanted, total, 0)
-    for again in range(4):
+    again = 0
+    while True:
         ranged = base.withColumn("range", _range_of(F.col("key"), splitters))
         sizes = ranged.groupBy("range").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         sizes = {r["range"]: r for r in sizes.collect()}  # a row a range: MOST_SPLITTERS + 1 at most
-        over = [r for r in sizes.values() if r.b * wanted > 3 * total and r.n > 1 and r.lo != r.hi and r.n > 1000]
-        room = MOST_SPLITTERS - len(splitters)
-        if not over or room < 2 * len(over):
-            break
-        for r in over:
+        over = [r for r in sizes.values() if r.b * wanted > 3 * total and r.lo != r.hi and r.n > 1000]
+        room, again, more = MOST_SPLITTERS - len(splitters), again + 1, set()
+        for r in over if room >= 2 * len(over) else []:
             inside = ranged.where(F.col("range") == r["range"])
-            more = _splitters(inside, min(room // len(over), max(2, r.b * wanted // max(total, 1))), r.b, again + 1)
-            splitters = sorted({*splitters, *more})
+            more.update(_splitters(inside, min(room // len(over), max(2, r.b * wanted // max(total, 1))), r.b, again))
+        if not more - set(splitters):
+            break
+        splitters = sorted({*splitters, *more})
     # Where each range starts, in rows and bytes: as many literals as there are ranges.
     starts, rows, size = [], 0, 0
     for i in range(len(splitters) + 1):
@@ -110,12 +115,18 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, id_col="doc_id", text_col=
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("at") - F.get(begin, F.col("shard"))).alias("slot"), "row")
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> None:
-    """Writes the documents themselves, one folder a shard, slots kept as a column."""
-    place = assign_shards(docs, n_shards).select(F.col("doc_id").alias("_doc"), F.col("text_crc32").alias("_crc"), "shard", "slot")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.crc32(text.cast("binary")) == F.col("_crc"))
-    docs.join(place.dropDuplicates(["_doc", "_crc"]), same).drop("_doc", "_crc").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, n_shards: int = 8, id_col="doc_id", text_col="text") -> None:
+    """Writes the documents themselves, one folder a shard, slots kept as a column.
+
+    The rows are numbered and written first, so a row finds its own place, also where others are just like it.
+    Where docs has a column named shard or slot, ours gets an underscore in front.
+    """
+    shard, slot, row = fresh_names(docs, "shard", "slot", "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "shard-documents")
+    place = assign_shards(rows, n_shards, id_col, text_col, row_col=row).select(F.col("row").alias("_at"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    out = rows.join(place, rows[row] == place["_at"]).select(*[rows[f"`{c}`"] for c in docs.columns], place["_shard"].alias(shard), place["_slot"].alias(slot))
+    out.write.partitionBy(shard).parquet(path)
+    discard(rows)
 
 
 def op7(spark, sf_dir):
