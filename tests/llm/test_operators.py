@@ -128,10 +128,28 @@ def test_rules_of_odd_rows(docs, none):
     assert quality_rules.clean_lines(docs).columns == docs.columns
 
 
-def test_lines_that_fail_are_removed(spark):
+@pytest.mark.parametrize(
+    "line, stays",
+    [
+        ("Home | News | Sport | Contact | Imprint", False),
+        ("Start › Shop › Shoes › Red", False),
+        ("Accueil » Jeux · Sport • Contact", False),
+        ("Read more", False),
+        ("Todos los derechos reservados", False),
+        ("Conditions d'utilisation", False),
+        ("Datenschutzerklärung", False),
+        ("this is 3.5 times a.com as many words as one would put in a line of prose", False),
+        ("he said that this is as many words as one would put in a line of \u201cprose.\u201d) ", True),
+        ("A short heading", True),
+        ("# $ % & * | < >", False),
+        ("Buy now!!! Really??? Yes!!!", False),
+    ],
+)
+def test_lines_that_fail_are_removed(spark, line, stays):
     good = " ".join(f"Word{i} and w{i * 7} go on." for i in range(40))
-    d = spark.createDataFrame([(1, good + "\nHome | News | Sport | Contact | Imprint\nRead more")], "doc_id long, text string")
-    assert "Home" not in quality_rules.clean_lines(d).first().text
+    d = spark.createDataFrame([(1, good + "\n" + line)], "doc_id long, text string")
+    assert quality_rules.clean_lines(d).first().text == (good + "\n" + line if stays else good)
+    assert quality_rules.judged(d)[0].first().n_lost_words == (0 if stays else len(line.split()))
 
 
 # --- byte pair encoding
@@ -537,6 +555,64 @@ def test_urls(spark):
     assert url_filter.judge_urls(empty, spark.createDataFrame([], "id long, good boolean")).count() == 0
 
 
+def brute_bounds(rows, outcomes, floor=0.5, z=1.645):
+    """The lower bound of each host, by hand: suffix, domain and host shrink to the level above."""
+    n, good = Counter(), Counter()
+    for page, host in rows:
+        n[host] += page in outcomes
+        good[host] += outcomes.get(page, 0)
+    domain = {h: ".".join(h.split(".")[-2:]) for h in n}
+    suffix = {h: h.split(".")[-1] for h in n}
+
+    def weight(children):  # (n, good, mean of the parent)
+        children = [c for c in children if c[0]]
+        s, b, v = (sum(f(*c) for c in children) for f in (lambda k, g, m: k * (g / k - m) ** 2, lambda k, g, m: m * (1 - m), lambda k, g, m: k * m * (1 - m)))
+        return 1 / max(min((s - b) / (v - b) if v > b else 0.001, 0.5), 0.001) - 1
+
+    total = lambda of, k: (sum(n[h] for h in n if of[h] == k), sum(good[h] for h in n if of[h] == k))
+    m0 = (sum(good.values()) + 1) / (sum(n.values()) + 2)
+    suffixes = {k: total(suffix, k) for k in set(suffix.values())}
+    k1 = weight([(*x, m0) for x in suffixes.values()])
+    m1 = {k: (g + k1 * m0) / (c + k1) for k, (c, g) in suffixes.items()}
+    domains = {k: total(domain, k) for k in set(domain.values())}
+    k2 = weight([(*x, m1[k.split(".")[-1]]) for k, x in domains.items()])
+    m2 = {k: (g + k2 * m1[k.split(".")[-1]]) / (c + k2) for k, (c, g) in domains.items()}
+    k3 = weight([(n[h], good[h], m2[domain[h]]) for h in n])
+    out = {}
+    for h in n:
+        m = (good[h] + k3 * m2[domain[h]]) / (n[h] + k3)
+        out[h] = m - z * (m * (1 - m) / (n[h] + k3 + 1)) ** 0.5
+    return out
+
+
+def test_reputation_blocks_hosts(spark):
+    """A host of bad pages goes with its subdomains' domain pulled down; one of good pages stays; bounds as by hand."""
+    rng = random.Random(6)
+    hosts = {"good.alpha.test": 0.97, "www.alpha.test": 0.95, "bad.beta.test": 0.02, "new.beta.test": 0.05, "one.gamma.info": 0.5, "x.delta.info": 0.9}
+    rows = [(1000 * k + i, h) for k, h in enumerate(hosts) for i in range(3 if h.startswith("new") else 120)]
+    outcomes = {p: int(rng.random() < hosts[h]) for p, h in rows if rng.random() < 0.7}
+    pages = spark.createDataFrame([(p, f"http://{h}/{p}") for p, h in rows], "page_id long, url string")
+    given_ = spark.createDataFrame([(p, bool(g)) for p, g in outcomes.items()], "id long, good boolean")
+    want = brute_bounds(rows, outcomes)
+    got = url_filter.judge_urls(pages, given_).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.lower_bound - want[r.host]) < 1e-9 and r.verdict == ("allow" if want[r.host] >= 0.5 else "block")
+    verdicts = {r.host: r.verdict for r in got}
+    assert verdicts["good.alpha.test"] == "allow" and verdicts["bad.beta.test"] == "block" and verdicts["new.beta.test"] == "block"
+
+
+def test_registered_domains_and_long_urls(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.com.br", "a.gov.au", "a.b.go.jp", "news.bbc.com", "org", "", "a.co", "x.y.k12.tr"]
+    d = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", url_filter.domain_of(F.col("host")).alias("d"), url_filter.suffix_of(F.col("host")).alias("s"))
+    got = {r.host: (r.d, r.s) for r in d.collect()}
+    assert got["a.b.co.uk"] == ("b.co.uk", "co.uk") and got["b.co.uk"][0] == "b.co.uk" and got["co.uk"][1] == "co.uk" and got["x.com.br"] == ("x.com.br", "com.br")
+    assert got["a.gov.au"] == ("a.gov.au", "gov.au") and got["a.b.go.jp"] == ("b.go.jp", "go.jp") and got["news.bbc.com"] == ("bbc.com", "com") and got["org"] == ("org", "org") and got[""] == ("", "") and got["a.co"] == ("a.co", "co")
+    long = spark.createDataFrame([(1, "http://" + "h" * 200_000 + ".com/de/" + "p" * 300_000 + "?q")], "page_id long, url string")
+    r = url_filter.judge_urls(long, spark.createDataFrame([], "id long, good boolean")).first()
+    assert len(r.host) == 200_004 and len(r.path) == 300_004 and (r.rule, r.verdict) == ("com/de/", "block")
+
+
 # --- the pipeline
 
 

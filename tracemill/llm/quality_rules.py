@@ -23,7 +23,8 @@ from .common import fresh_names, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-SEPARATORS = "|>"
+#: What menus and breadcrumbs put between their items.
+SEPARATORS = "|>»·›•"
 
 
 @dataclass(frozen=True)
@@ -32,29 +33,51 @@ class LineRules:
 
     min_words: int = 50
     most_repeated_percent: int = 50
-    #: A line with more words than this has sentence punctuation or is no prose.
+    #: A line with more words than this ends with sentence punctuation or is no prose.
     unpunctuated_words: int = 12
     #: Separators a word, as menus and tables have them.
     most_separators: float = 0.2
     most_symbols: float = 0.3
     most_shouts: float = 0.3
     most_lost: float = 0.5
+    #: In English, Spanish, French and German.
     boilerplate: tuple[str, ...] = (
         "javascript",
+        "lorem ipsum",
         "cookie policy",
         "privacy policy",
         "terms of use",
         "terms of service",
         "all rights reserved",
-        "lorem ipsum",
         "click here",
         "read more",
         "sign in",
         "log in",
         "subscribe to our",
         "licensed under",
+        "política de privacidad",
+        "política de cookies",
+        "todos los derechos reservados",
+        "condiciones de uso",
+        "haga clic aquí",
+        "leer más",
+        "iniciar sesión",
+        "politique de confidentialité",
+        "tous droits réservés",
+        "conditions d'utilisation",
+        "mentions légales",
+        "cliquez ici",
+        "lire la suite",
+        "se connecter",
+        "datenschutzerklärung",
+        "alle rechte vorbehalten",
+        "nutzungsbedingungen",
+        "hier klicken",
+        "weiterlesen",
+        "jetzt anmelden",
     )
-    sentence: str = "[.!?…。！？]"
+    #: At the end of a line; quotes, brackets and white space may follow.
+    sentence: str = r"""[.!?…。！？:;]["'”’»)\]]*[\x20\x09-\x0D]*\z"""
 
 
 def words_of(text: Column) -> Column:
@@ -62,11 +85,16 @@ def words_of(text: Column) -> Column:
 
 
 def count_of(text: Column, chars: str) -> Column:
-    """How many of the ASCII chars the text has. replace() runs over bytes; translate() looks up every character."""
-    rest = text
-    for c in chars:
-        rest = F.replace(rest, F.lit(c))
-    return F.octet_length(text) - F.octet_length(rest)
+    """How many of the chars the text has. replace() runs over bytes; translate() looks up every character."""
+    out = F.lit(0)
+    for size in sorted({len(c.encode()) for c in chars}):
+        rest = text
+        for c in chars:
+            if len(c.encode()) == size:
+                rest = F.replace(rest, F.lit(c))
+        lost = F.octet_length(text) - F.octet_length(rest)
+        out = out + (lost if size == 1 else F.floor(lost / size).cast("int"))
+    return out
 
 
 def word_count(line: Column) -> Column:
@@ -158,7 +186,8 @@ def op2(spark, sf_dir):
 
 
 _R = LineRules()
-_PHRASES = ", ".join(f"'{x}'" for x in _R.boilerplate)
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_PHRASES = ", ".join(map(_QUOTED, _R.boilerplate))
 OP2_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
@@ -170,7 +199,7 @@ lf AS (SELECT r, line, len(ws) AS n,
    (len(ws) >= 3 AND length(line) - length(translate(line, '{SEPARATORS}', '')) >= {_R.most_separators} * len(ws))
    OR length(line) - length(translate(line, '{SYMBOLS}', '')) > {_R.most_symbols} * len(ws)
    OR (len(ws) >= 3 AND length(line) - length(translate(line, '!?', '')) > greatest(1.0, {_R.most_shouts} * len(ws)))
-   OR (len(ws) > {_R.unpunctuated_words} AND NOT regexp_matches(line, '{_R.sentence}'))
+   OR (len(ws) > {_R.unpunctuated_words} AND NOT regexp_matches(line, {_QUOTED(_R.sentence)}))
    OR (len(ws) <= 30 AND len(list_filter([{_PHRASES}], lambda x: contains(lower(line), x))) > 0) AS bad
    FROM lw WHERE len(ws) > 0),
 ls AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup, coalesce(sum(n) FILTER (WHERE bad), 0) AS lost FROM lf GROUP BY r),

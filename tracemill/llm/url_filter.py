@@ -28,8 +28,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Public suffixes of two labels; any other suffix is the last label.
-SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "co.in", "co.za", "com.tr", "com.ar")
+#: Kinds of organisation that registries of countries put before the country's label: a suffix of two labels is one of
+#: these and a label of two letters (co.uk, com.br, go.jp). Any other suffix is the last label.
+KINDS = ("ac", "co", "com", "edu", "gob", "gov", "go", "mil", "ne", "net", "nom", "or", "org", "sch")
+_TWO_LABELS = rf"(?:^|\.)(?:{'|'.join(KINDS)})\.[a-z]{{2}}\z"
 HOT_SHARE = 1000
 
 
@@ -46,14 +48,12 @@ def path_of(url: Column) -> Column:
 
 
 def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SECOND_LEVEL), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(host.rlike(_TWO_LABELS), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
     """The public suffix and one label more; the host itself where it has no more."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SECOND_LEVEL), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(host.rlike(_TWO_LABELS), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -127,7 +127,6 @@ def op10(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"), good).select("page_id", "host", "path", "rule", "verdict")
 
 
-_SECOND = ", ".join(f"'{x}'" for x in SECOND_LEVEL)
 _PRIOR = """greatest(least(coalesce(CASE WHEN sum(n * {m} * (1 - {m})) > sum({m} * (1 - {m})) THEN
   (sum(n * (good / n - {m}) * (good / n - {m})) - sum({m} * (1 - {m}))) / (sum(n * {m} * (1 - {m})) - sum({m} * (1 - {m}))) END, 0.001), 0.5), 0.001)"""
 OP10_SQL = f"""
@@ -137,9 +136,9 @@ WITH p AS (
   FROM pages
 ), o AS (SELECT doc_id, min(CAST(quality = 1 AND toxic = 0 AS INT)) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
 c AS (SELECT host, count(good) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS good FROM p LEFT JOIN o ON page_id = doc_id GROUP BY 1),
-b AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two FROM c),
-b2 AS (SELECT host, n, good, CASE WHEN two IN ({_SECOND}) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE two END AS domain,
-   CASE WHEN two IN ({_SECOND}) THEN two ELSE string_split(host, '.')[-1] END AS suffix FROM b),
+b AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two, regexp_matches(host, '{_TWO_LABELS}') AS pair FROM c),
+b2 AS (SELECT host, n, good, CASE WHEN pair THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE two END AS domain,
+   CASE WHEN pair THEN two ELSE string_split(host, '.')[-1] END AS suffix FROM b),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good FROM b2 GROUP BY 1, 2),
 s AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM b2) AS m0 FROM d GROUP BY 1),
 k1 AS (SELECT 1 / {_PRIOR.format(m="m0")} - 1 AS k FROM s WHERE n > 0),
