@@ -109,8 +109,6 @@ def test_leaks_in_blocks(spark, docs, monkeypatch):
 @given(st.lists(st.integers(1, 3), max_size=60), st.lists(st.integers(1, 3), min_size=1, max_size=4))
 @settings(max_examples=60, deadline=None)
 def test_fm_index(seq, pattern):
-    import numpy as np
-
     f = fm_index.FMIndex(np.array(seq, np.int64), 3, 4)
     lo, hi = f.search(np.array([pattern], np.int64))
     at = sorted(f.locate(np.arange(lo[0], hi[0])).tolist())
@@ -517,6 +515,72 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc > 0.93 and sum(r.predicted > r.toxic for r in rows) < 0.02 * len(rows)
 
 
+def test_log_ratios_by_hand(spark):
+    """Every expression's two probabilities from counts, continuation counts and discounts, over all that there are."""
+    rng = random.Random(5)
+    word = lambda toxic: rng.choice(["stupid", "idiots"] if toxic and rng.random() < 0.5 else ["river", "stone", "garden", "window"])
+    rows = [(i, int(i % 3 == 0), " ".join(word(i % 3 == 0) for _ in range(9))) for i in range(60)]
+    rows.append((60, 0, None))
+    counts = toxicity._counts(spark.createDataFrame(rows, "id long, toxic int, text string"))
+    n = [Counter(), Counter()]
+    for _, toxic, text in rows:
+        data = b" " * 6 + " ".join(words(text)).encode() + b" " if text else b""
+        n[toxic].update({data[i : i + 7] for i in range(len(data) - 6)})
+    seen = {r.g.to_bytes(7, "big"): (r.n0, r.n1) for r in counts.collect()}
+    assert seen == {g: (n[0][g], n[1][g]) for g in n[0] | n[1]}
+    low, first = Counter(g[1:] for g in seen), Counter(g[0] for g in seen)
+    share = sum(t for _, t, _ in rows) / len(rows)
+
+    def evidence(g):
+        e = sum(seen[g]) * share
+        return abs(seen[g][1] - e) / (e * (1 - share) + 0.5) ** 0.5 >= 3
+
+    total = [sum(x.values()) for x in n]
+    free = [1 - sum(max(n[c][g] - 0.75, 0) for g in seen if evidence(g)) / total[c] for c in (0, 1)]
+    p = lambda c, g: (max(n[c][g] - 0.75, 0) if evidence(g) else 0) / total[c] + free[c] * low[g[1:]] * first[g[0]] / len(seen) ** 2
+    want = {g: np.log(p(1, g) / p(0, g)) - np.log(free[1] / free[0]) for g in seen if evidence(g)}
+    got = {r.g.to_bytes(7, "big"): r.llr for r in toxicity.log_ratios(counts, (len(rows) - sum(t for _, t, _ in rows), sum(t for _, t, _ in rows))).collect()}
+    assert got.keys() == want.keys() and len(want) > 5 and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+    model = toxicity.Model(np.array([int.from_bytes(g, "big") for g in want]), np.array(list(want.values())))
+    data = b" " * 6 + b"you stupid river "
+    by_hand = sum(want.get(data[i : i + 7], 0) for i in range(len(data) - 6)) / (len(data) - 6)
+    assert abs(model.difference("You, stupid river!") - by_hand) < 1e-12 and by_hand > 0 and model.difference(None) == 0
+
+
+def test_ranking_against_a_plain_fit():
+    """The weights are the minimum of the pairs' logistic loss: no step along any axis lowers it; the cut has the fewest errors."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, quality_model.N_FEATURES))
+    good = x[:, 0] + 0.5 * x[:, 3] + 0.3 * rng.normal(size=300) > 0
+    made = quality_model.Ranking(x, good)
+    z = made._scaled(x)
+    a, b = np.flatnonzero(good), np.flatnonzero(~good)
+    draw = np.random.default_rng(9)
+    d = z[draw.choice(a, 6000)] - z[draw.choice(b, 6000)]
+    loss = lambda w: np.logaddexp(0, -(d @ w)).sum() + 0.5 * 1e-3 * len(d) * (w @ w)
+    least = loss(made.weights)
+    assert all(loss(made.weights + e * step) >= least - 1e-6 for e in np.eye(len(made.weights)) for step in (-1e-3, 1e-3))
+    p = made.probabilities(x)
+    errors = lambda cut: ((z @ made.weights >= cut) != good).sum()
+    assert ((p >= 0.7) != good).sum() <= min(errors(c) for c in np.quantile(z @ made.weights, np.linspace(0, 1, 101))) + 2
+
+
+def test_learning_from_ids_with_several_texts(spark):
+    """The same scores whatever the rows' order, with ids that have two texts and rows that repeat."""
+    rng = random.Random(2)
+    some = lambda bad: " ".join(rng.choice(["stupid", "idiot"] if bad else ["river", "stone"]) for _ in range(12))
+    rows = [(i % 60, some(i % 2)) for i in range(90)]
+    rows += rows[:10]
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(60)], "id long, quality int, toxic int")
+    out = []
+    for _ in range(2):
+        rng.shuffle(rows)
+        d = spark.createDataFrame(rows, "id long, text string")
+        ranking = quality_model.learn(d, labels.select("id", "quality"))
+        out.append((sorted((r.id, round(r.score, 9)) for r in toxicity.score(d, labels.select("id", "toxic")).collect()), ranking.weights.round(6).tolist()))
+    assert out[0] == out[1]
+
+
 def test_all_expressions_with_evidence_count(spark, monkeypatch):
     """Past MOST_EXPRESSIONS the scores are the same, for repeated, null and wordless rows too."""
     sf = "/root/testdata/sf0.01"

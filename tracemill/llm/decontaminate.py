@@ -50,20 +50,30 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """Distinct phrases of a block of items, as word ids (1 is the separator), and their items."""
+    """Distinct phrases of a block of items, as word ids (1 is the separator), and their items.
+
+    Phrases of one length are the rows of an array; whose they are is a second one: the items of phrase i are
+    owners[of[i] : of[i + 1]].
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.items = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.items)}
+        rows: dict[int, list[np.ndarray]] = {}
+        whose: dict[int, list[np.ndarray]] = {}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)]
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + width]), set()).add(item)
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)], np.int32)
+            if len(ids):
+                windows = np.lib.stride_tricks.sliding_window_view(ids, min(width, len(ids)))
+                rows.setdefault(windows.shape[1], []).append(windows)
+                whose.setdefault(windows.shape[1], []).append(np.full(len(windows), number[item], np.int32))
         self.sigma = len(self.vocabulary) + 1
-        self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for n in sorted({len(p) for p in owners}):
-            of = [p for p in owners if len(p) == n]
-            self.by_length[n] = (np.array(of, np.int64), [sorted(owners[p]) for p in of])
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(rows):
+            patterns, which = np.unique(np.concatenate(rows[n]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), np.concatenate(whose[n])], axis=1), axis=0)
+            self.by_length[n] = (patterns, np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1)), pairs[:, 1].astype(np.int32))
         self.shortest, self.longest = min(self.by_length, default=0), max(self.by_length, default=0)
 
 
@@ -90,7 +100,7 @@ class _Shard:
         """Adds, by text, the (start, end) of every occurrence and the items it comes from."""
         index = FMIndex(np.concatenate(self.parts), phrases.sigma)
         begin, start = np.array([b for b, _ in self.start]), np.array([w for _, w in self.start])
-        for n, (patterns, owners) in phrases.by_length.items():
+        for n, (patterns, of, owners) in phrases.by_length.items():
             lo, hi = index.search(patterns)
             found = np.flatnonzero(hi > lo)
             count = (hi - lo)[found]
@@ -104,7 +114,7 @@ class _Shard:
             for run, w, p in zip(which.tolist(), word.tolist(), np.repeat(found, count).tolist(), strict=True):
                 t = self.text[run]
                 spans.setdefault(t, []).append((w, w + n))
-                items.setdefault(t, set()).update(owners[p])
+                items.setdefault(t, set()).update(owners[of[p] : of[p + 1]].tolist())
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -137,7 +147,7 @@ def scan(texts: list[str | None], phrases: Phrases, shard_words: int = SHARD):
             shard = _Shard()
     if shard.size:
         shard.hits(phrases, spans, items)
-    return [(n_words[k], merged(spans.get(k, ())), sorted(items.get(k, ()))) for k in slot]
+    return [(n_words[k], merged(spans.get(k, ())), sorted(phrases.items[i] for i in items.get(k, ()))) for k in slot]
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str):

@@ -8,7 +8,7 @@ Learning uses a sample of at most MOST_LABELLED labelled documents and MOST_PAIR
 same ones each time. Features are counted over whole texts, and scoring is per document.
 
 Defined results: null and wordless texts have all features 0 but those of length; label rows that repeat
-count once, good only if all are; without labels of both kinds every score is the threshold; an empty
+count once, good only if all are; of several texts of one labelled id the first in order is learnt from; without labels of both kinds every score is the threshold; an empty
 table gives an empty result; extra columns stay in keep_good() and are ignored in score().
 """
 
@@ -69,14 +69,14 @@ N_FEATURES = len(features(None))
 class Ranking:
     """Scores and their threshold; the features are scaled and clipped, and their squares join them."""
 
-    def __init__(self, x: np.ndarray, good: np.ndarray):
+    def __init__(self, x: np.ndarray, good: np.ndarray, most_pairs: int = MOST_PAIRS):
         self.weights, self.threshold = None, 0.0
         if not len(good) or good.all() or not good.any():
             return
         self.middle, self.spread = np.median(x, axis=0), x.std(axis=0) + 1e-6
         z, rng = self._scaled(x), np.random.default_rng(9)
         a, b = np.flatnonzero(good), np.flatnonzero(~good)
-        pairs = min(MOST_PAIRS, 20 * len(good))
+        pairs = min(most_pairs, 20 * len(good))
         d = z[rng.choice(a, pairs)]
         d -= z[rng.choice(b, pairs)]
         flip = rng.random(pairs) < 0.5
@@ -114,13 +114,16 @@ def _with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
     return map_arrow(docs.select(*keep, "text"), run, schema)
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Ranking:
-    """docs: id, text; labels: id, quality, of any number."""
+def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_pairs: int = MOST_PAIRS) -> Ranking:
+    """docs: id, text; labels: id, quality, of any number.
+
+    The fit is on the labelled ids that come first by hash, most_labelled of them, and on most_pairs of their pairs.
+    """
     labels = labels.where("id IS NOT NULL AND quality IN (0, 1)").groupBy("id").agg(F.min("quality").cast("int").alias("quality"))
-    sample = labels.orderBy(F.xxhash64("id"), "id").limit(MOST_LABELLED)
-    got = _with_features(docs.join(F.broadcast(sample), "id").select("id", "quality", "text").dropDuplicates(["id"]), ["id", "quality"]).orderBy("id").toArrow()
+    sample = labels.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
+    got = _with_features(docs.join(F.broadcast(sample), "id").groupBy("id", "quality").agg(F.min("text").alias("text")), ["id", "quality"]).orderBy("id").toArrow()
     x = np.stack([got.column(f"f{i}").to_numpy() for i in range(N_FEATURES)], axis=1) if got.num_rows else np.zeros((0, N_FEATURES))
-    return Ranking(x, got.column("quality").to_numpy() == 1)
+    return Ranking(x, got.column("quality").to_numpy() == 1, most_pairs)
 
 
 def score(docs: DataFrame, ranking: Ranking, id_col="id", text_col="text", out_col="score") -> DataFrame:
