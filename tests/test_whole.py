@@ -1,14 +1,17 @@
 """Queries do the whole job, against sets and rows counted here."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.parity import connect
 from tracemill.functions import text
-from tracemill.operators import graphs, reduce, upserts
+from tracemill.operators import graphs, jobs, reduce, upserts
 from tracemill.plans import QUERIES
 from tracemill.streaming import streams
 
@@ -118,3 +121,44 @@ def test_items_of_random_snapshots(spark):
     rng.shuffle(rows)
     got = {(r.g, r.s, r.p): r.item_id for r in reduce.reconcile_snapshots(spark.createDataFrame(rows, "g int, s int, p int, c string"), "g", "s", "p", "c").collect()}
     assert got == {(g, s, p): i for g, snaps in groups.items() for s, ids in enumerate(brute_ids(snaps)) for p, i in enumerate(ids)}
+
+
+@given(st.lists(st.sampled_from(["<h>", "</h>", "<", "/h", ">", "h", "a", "\n"]), max_size=14), st.lists(st.integers(0, 40), max_size=6))
+def test_tags_wherever_chunks_are_cut(parts, cuts):
+    whole = "".join(parts)
+    cuts = sorted({min(c, len(whole)) for c in cuts} | {0, len(whole)})
+    feed, state, got = streams.tags("<h>", "</h>"), "", []
+    for a, b in zip(cuts, cuts[1:] + [len(whole)], strict=True):
+        state, pieces = feed(state, whole[a:b], False)
+        got += pieces
+    got += feed(state, "", True)[1]
+    assert "".join(t for k, t in got if k == "shown") == re.sub(r"(?s)<h>.*?(</h>|\Z)", "", whole)
+    assert [t for k, t in got if k == "hidden"] == re.findall(r"(?s)<h>(.*?)(?:</h>|\Z)", whole)
+
+
+@given(st.lists(st.sampled_from(["@@\n", " a\n", "-b\n", "+@@c\n", "@", "@x\n"]), max_size=14), st.lists(st.integers(0, 40), max_size=6))
+def test_hunks_wherever_chunks_are_cut(parts, cuts):
+    whole = "".join(parts)
+    cuts = sorted({min(c, len(whole)) for c in cuts} | {0, len(whole)})
+    state, got = "", []
+    for a, b in zip(cuts, cuts[1:] + [len(whole)], strict=True):
+        state, pieces = streams.hunk_parser(state, whole[a:b], False)
+        got += [t for _, t in pieces]
+    got += [t for _, t in streams.hunk_parser(state, "", True)[1]]
+    assert got == (re.split(r"(?m)^(?=@@)", whole)[1:] if not whole.startswith("@@") else [x for x in re.split(r"(?m)^(?=@@)", whole) if x])
+
+
+def test_slots_are_never_more_than_asked_for(spark, sf):
+    rows = QUERIES["SM15_bounded_fan_out"](spark, sf).collect()
+    jobs_ = defaultdict(list)
+    for r in rows:
+        jobs_[r.p_brand].append(r)
+    for items in jobs_.values():
+        for t in {r.started for r in items}:
+            assert sum(r.started <= t < r.ended for r in items) <= 8
+    assert [jobs.concurrency(x) for x in (None, 0, 8, 500)] == [16, 1, 8, 64] and jobs.concurrency(20, 4) == 4
+
+
+@pytest.mark.parametrize("result, want", [("[1]", ("no object", False)), ('{"result": {"n": 1}}', (None, False)), ('{"result": {"n": true}}', ("field n", False)), ('{"result": {"n": 1}, "stop": true}', (None, True)), (None, ("no JSON", False)), ("{", ("no JSON", False))])
+def test_results_of_workers(result, want):
+    assert jobs.checked_result(result, {"n": int}) == want

@@ -43,6 +43,12 @@ def fuzzy_top(df: DataFrame, text: str, needle: str, k: int) -> DataFrame:
     return hits.withColumn("score", subsequence_score(F.col(text), needle)).orderBy("score", text).limit(k)
 
 
+def narrowed(rows: DataFrame, text: str, needle: str, last: str | None, found: DataFrame | None) -> DataFrame:
+    """Rows that match; a needle that goes on from the last one is looked for only in what that one found."""
+    some = found if found is not None and last is not None and needle.startswith(last) else rows
+    return some.where(F.col(text).rlike(subsequence_pattern(needle)))
+
+
 def bm25(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str], k: int, k1=1.2, b=0.75) -> DataFrame:
     """The k best documents for the terms. Only query terms are exploded; lengths need one more pass."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9]+)"))

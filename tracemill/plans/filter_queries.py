@@ -129,6 +129,19 @@ def _(t):
     return t.pages.select("page_id", f.host_allowed(host, ["*.example.com", "**.example.net"], ["blog.*.example.com"]).alias("allowed"), f.is_non_public_ip(ip).alias("private"))
 
 
+@query("PF15_lenient_schema", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '{"type":"string"}' WHEN 1 THEN '{"enum":[' || p_partkey || '],"type":"string"}' WHEN 2 THEN '{"properties":{"a":{"type":"string"},"b":{"enum":[1],"type":"string"}},"type":"object"}'
+  WHEN 3 THEN '{"items":{"type":"string"},"type":["array","null"]}' WHEN 4 THEN '{"anyOf":[{"type":"number"},{"properties":{},"type":"object"}]}' END AS lenient FROM part""")
+def _(t):
+    from ..functions.schema import lenient_schema
+
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    text = F.when(k % 6 == 0, "true").when(k % 6 == 1, F.concat(F.lit('{"const":'), n, F.lit(', "title": "x"}')))
+    text = text.when(k % 6 == 2, '{"properties": {"a": true, "b": {"enum": [1]}}, "$id": "x"}').when(k % 6 == 3, F.concat(F.lit('{"type": ["array", "null", "odd"], "minItems": '), n, F.lit("}")))
+    text = text.when(k % 6 == 4, '{"anyOf": [{"minimum": 1}, {"type": "object"}]}').otherwise('{"type": "null"}')
+    return t.part.select("p_partkey", lenient_schema(text).alias("lenient"))
+
+
 @query("PF16_mutating_events", "SELECT event_id FROM events WHERE event_type <> 'view'")
 def _(t):
     return t.events.where(F.col("event_type") != "view").select("event_id")

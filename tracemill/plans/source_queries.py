@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..cluster import scratch, ship
-from ..functions.text import blocks, render_template, strip_block
+from ..functions.text import render_template
 from ..operators import upserts as u
 from ..sources import files as f
 from ..streaming import streams as st
@@ -48,12 +48,14 @@ def _(t):
     return t.pages.select("page_id", f.session_name(name).alias("s")).select("page_id", F.col("s.ts").cast("timestamp_ntz").alias("ts"), "s.id")
 
 
-@query("SC4_file_mtime", "SELECT true AS recent, true AS in_ms")
+@query("SC4_file_mtime", "SELECT r_name, true AS recent, 0::BIGINT AS micros FROM region")
 def _(t):
+    """A record's updated_at is its file's time, cut to milliseconds; files that were just written are an hour old at most."""
     path = scratch(t.spark, "mtime")
     t.region.write.json(path)
-    m = F.col("_metadata.file_modification_time")
-    return t.spark.read.schema("r_name string").json(path).select((m > F.current_timestamp() - F.expr("INTERVAL 1 HOUR")).alias("recent"), (F.date_trunc("millisecond", m) <= m).alias("in_ms")).distinct()
+    at = f.updated_at(F.col("_metadata.file_modification_time"))
+    rows = t.spark.read.schema("r_name string").json(path).select("r_name", at.alias("at"))
+    return rows.select("r_name", (F.col("at") > F.current_timestamp() - F.expr("INTERVAL 1 HOUR")).alias("recent"), (F.unix_micros("at") % 1000).alias("micros"))
 
 
 @query("SC5_head_summary", "WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, coalesce(bool_or(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen FROM conversations) SELECT conv_id, turn FROM r WHERE n <= 2 OR (NOT seen AND n <= 5)")
@@ -105,12 +107,24 @@ def _(t):
     return _history(t).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SC13_SC14_trace_bundle", "SELECT event_id AS seq, event_type, props FROM events")
-def _(t):
+def _bundle(t):
     path = scratch(t.spark, "bundle")
-    e = t.events.select(F.col("event_id").alias("seq"), "event_type", F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("payload_id"))
-    f.write_bundle(e, t.events.select(F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("payload_id"), "props"), path)
-    return f.read_bundle(t.spark, path, "seq long, event_type string, payload_id string", "payload_id string, props string").select("seq", "event_type", "props")
+    payload = F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("payload_id")
+    f.write_bundle(t.events.select(F.col("event_id").alias("seq"), "event_type", payload), t.events.select(payload, "props"), path)
+    return path
+
+
+@query("SC13_trace_writer", "SELECT 'payloads' AS part, count(*) AS n, sum(strlen(props)) AS bytes FROM events UNION ALL SELECT 'events', count(*), sum(strlen(event_type)) FROM events")
+def _(t):
+    """What lies in the two parts of a bundle; an event's payload is there before the event is."""
+    path = _bundle(t)
+    parts = [t.spark.read.schema(f"{c} string").json(f"{path}/{part}").agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(c)).alias("bytes")) for part, c in (("payloads", "props"), ("events", "event_type"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SC14_trace_reader", "SELECT event_id AS seq, event_type, props FROM events")
+def _(t):
+    return f.read_bundle(t.spark, _bundle(t), "seq long, event_type string, payload_id string", "payload_id string, props string").select("seq", "event_type", "props")
 
 
 def _ordered_events(t):
@@ -127,9 +141,16 @@ def _(t):
     return t.spark.read.parquet(out).select("event_id", "event_type")
 
 
-@query("SC16_table_scan", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0")
+@query("SC16_table_scan", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'changed ' ELSE '' END || s_name AS s_name, s_suppkey % 4 = 0 AS s_late FROM supplier WHERE s_acctbal > 0")
 def _(t):
-    return t.supplier.where("s_acctbal > 0").select("s_suppkey", "s_name")
+    """A table of two writes, the second of which replaces rows of the first by key, and a filtered scan of it."""
+    path = scratch(t.spark, "table")
+    rows = t.supplier.select("s_suppkey", "s_name", "s_acctbal", F.lit(False).alias("s_late"))
+    rows.write.parquet(f"{path}/version=1")
+    late = rows.where("s_suppkey % 4 = 0").withColumns({"s_name": F.concat(F.lit("changed "), "s_name"), "s_late": F.lit(True)})
+    late.write.parquet(f"{path}/version=2")
+    versions = t.spark.read.schema(f"{rows.schema.toDDL()}, version long").parquet(path).where("s_acctbal > 0")
+    return u.upsert(versions.where("version = 1"), versions.where("version = 2"), ["s_suppkey"], "version").select("s_suppkey", "s_name", "s_late")
 
 
 @query("SC17_sse_source", "SELECT page_id, 2 AS n, 'done' AS last, '{\"x\":' || page_id || '}' AS data FROM pages")
@@ -140,10 +161,33 @@ def _(t):
     return t.pages.select("page_id", e.alias("e")).select("page_id", F.size("e").alias("n"), F.get("e", F.lit(1))["event"].alias("last"), F.get("e", F.lit(0))["data"].alias("data"))
 
 
-@query("SC18_SC19_listing", "SELECT p FROM (SELECT CASE WHEN page_id % 3 = 0 THEN '.git/' ELSE 'src/' END || page_id AS p FROM pages) WHERE NOT starts_with(p, '.')")
+def _paths(t):
+    return t.pages.select(F.concat(F.when(F.col("page_id") % 3 == 0, ".git/").otherwise("src/"), F.col("page_id").cast("string")).alias("p"))
+
+
+@query("SC18_tree_walk", "SELECT p FROM (SELECT CASE WHEN page_id % 3 = 0 THEN '.git/' ELSE 'src/' END || page_id AS p FROM pages) WHERE NOT starts_with(p, '.')")
 def _(t):
-    p = F.concat(F.when(F.col("page_id") % 3 == 0, ".git/").otherwise("src/"), F.col("page_id").cast("string"))
-    return f.visible_paths(t.pages.select(p.alias("p")), "p")
+    return f.visible_paths(_paths(t), "p")
+
+
+@query("SC19_sorted_listing", "SELECT p, row_number() OVER (ORDER BY p) AS n FROM (SELECT 'src/' || page_id AS p FROM pages WHERE page_id % 3 <> 0) ORDER BY p LIMIT 200")
+def _(t):
+    """The first page of a listing in order, each entry with its place."""
+    from pyspark.sql import Window
+
+    return f.visible_paths(_paths(t), "p").orderBy("p").limit(200).withColumn("n", F.row_number().over(Window.orderBy("p")))
+
+
+@query("SC22_paged_directory", "SELECT s_suppkey, s_name, (row_number() OVER (ORDER BY s_suppkey) - 1) // 40 AS page FROM supplier")
+def _(t):
+    """Pages of 40 from a source that gives a cursor with each, until it gives none."""
+    return f.all_pages(t.spark, lambda after: _supplier_page(t, after), "s_suppkey long, s_name string")
+
+
+def _supplier_page(t, after):
+    rows = t.supplier if after is None else t.supplier.where(F.col("s_suppkey") > after)
+    rows = rows.orderBy("s_suppkey").limit(41).select("s_suppkey", "s_name").collect()  # one more tells whether another page follows
+    return [tuple(r) for r in rows[:40]], rows[39].s_suppkey if len(rows) > 40 else None
 
 
 @query("SC20_line_range", "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS s FROM documents")
@@ -172,9 +216,39 @@ def _(t):
     return t.spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("batch").cast("int").alias("batches"))
 
 
-@query("SM4_tail_follow", "SELECT event_id FROM events WHERE event_id > 300")
+@query("SM4_tail_follow", "SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS poll FROM events WHERE event_type IN ('error', 'click')")
 def _(t):
-    return st.drain(st.file_stream(t.spark, _ordered_events(t), _SCHEMA).where("event_id > 300").select("event_id"), scratch(t.spark, "tail"), scratch(t.spark, "check"))
+    """Two polls of a log that grows between them: the second one gets what the first has not seen, and no more."""
+    path, check, out = scratch(t.spark, "log"), scratch(t.spark, "check"), scratch(t.spark, "tail")
+    for poll in (1, 2):
+        t.events.where(F.col("event_id") % 2 == poll - 1).select("event_id", "event_type").write.mode("append").parquet(path)
+        s = st.file_stream(t.spark, path, "event_id long, event_type string").where("event_type IN ('error', 'click')")
+        st.drain_batches(s, check, lambda df, n, poll=poll: df.write.mode("append").parquet(f"{out}/poll={poll}"))
+    return t.spark.read.schema("event_id long, event_type string, poll int").parquet(out)
+
+
+@query("SM6_narrowed_query", "SELECT doc_id FROM (SELECT doc_id, lower(left(text, 40)) AS h FROM documents) WHERE regexp_matches(h, '(?s)t.*h.*e')")
+def _(t):
+    """A query that goes on from the last one looks only at what that one found."""
+    from ..operators import search as s
+
+    heads = t.documents.select("doc_id", F.lower(F.substring("text", 1, 40)).alias("h"))
+    first = s.narrowed(heads, "h", "th", None, None)
+    return s.narrowed(heads, "h", "the", "th", first).select("doc_id")
+
+
+#: Held so long, a lease that is not renewed may go to another worker.
+_LEASE_SQL = """WITH b AS (SELECT user_id % 50 AS job, list([event_id * 7, event_id % 3]::BIGINT[] ORDER BY event_id) AS bs FROM events GROUP BY 1),
+f AS (SELECT job, bs, list_reduce(bs, lambda a, x: CASE WHEN a[1] < 0 OR a[1] = x[2] OR x[1] >= a[2] THEN list_concat([x[2], x[1] + 900], a[3:], [x[2]]) ELSE list_concat(a, [a[1]]) END, [-1, 0]::BIGINT[]) AS a FROM b)
+SELECT job, unnest(bs)[1] AS s, unnest(bs)[2] AS worker, unnest(a[3:]) AS held FROM f"""
+
+
+@query("SM14_heartbeat_lease", _LEASE_SQL)
+def _(t):
+    from ..operators import jobs
+
+    beats = t.events.select((F.col("user_id") % 50).alias("job"), (F.col("event_id") * 7).alias("s"), (F.col("event_id") % 3).alias("worker"))
+    return jobs.leases(beats, ["job"], "s", "worker", 900)
 
 
 @query("SM5_throttled_sets", "SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, list_sort(list(DISTINCT event_type)) AS items FROM events GROUP BY 1, 2")
@@ -183,21 +257,35 @@ def _(t):
     return st.drain_latest(sets, ["user_id", "start"], scratch(t.spark, "sets"), scratch(t.spark, "check")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("SM8_tag_parser", "SELECT conv_id, turn, 'ab' AS shown, ['x' || turn] AS hidden FROM conversations")
+def _chunks(t, rows, keys, parts):
+    """Files of first, second, third chunks: a text goes on from batch to batch."""
+    each = rows.select(*keys, F.posexplode(F.array(*parts)).alias("i", "c")).withColumn("ends", F.col("i") == len(parts) - 1)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in each.schema)
+    return st.file_stream(t.spark, st.staged_in_order(each, "chunks", "i", len(parts)), schema, 1)
+
+
+@query("SM8_tag_parser", "SELECT conv_id, turn, 'ab<' || '</h>' || turn AS shown, ['x' || turn, 'open' || turn] AS hidden FROM conversations")
 def _(t):
-    """Chunks are joined by stream before tags are looked for, so a tag may lie across chunks."""
-    chunks = t.conversations.select("conv_id", "turn", F.posexplode(F.array(F.lit("a<h"), F.concat(F.lit(">x"), F.col("turn").cast("string"), F.lit("</")), F.lit("h>b"))).alias("i", "c"))
-    s = chunks.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]), "").alias("s"))
-    return s.select("conv_id", "turn", strip_block(F.col("s"), "h").alias("shown"), blocks(F.col("s"), "h").alias("hidden"))
+    """Marks are cut by chunks that come in different batches; what only looks like one is shown; the last tag stays open."""
+    n = F.col("turn").cast("string")
+    parts = [F.lit("a<h"), F.concat(F.lit(">x"), n, F.lit("</")), F.concat(F.lit("h>b<</h>"), n, F.lit("<h>op")), F.concat(F.lit("en"), n)]
+    s = st.parsed(_chunks(t, t.conversations, ["conv_id", "turn"], parts), ["conv_id", "turn"], "i", "c", "ends", st.tags("<h>", "</h>"))
+    got = st.drain(s, scratch(t.spark, "tags"), scratch(t.spark, "check"))
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("n", "piece")))), lambda x: x["piece"])
+    return got.groupBy("conv_id", "turn").agg(F.array_join(of("shown"), "").alias("shown"), of("hidden").alias("hidden"))
 
 
-@query("SM9_patch_stream", "SELECT page_id, 'a' || chr(10) || 'z' || page_id || chr(10) AS s FROM pages")
+@query("SM9_patch_stream", "SELECT page_id, 2::BIGINT AS hunks, 'a' || chr(10) || 'z' || page_id || chr(10) || 'c' || chr(10) || 'e' || chr(10) AS s FROM pages")
 def _(t):
+    """Hunks are given out as soon as they are whole, lines and marks may be cut anywhere; then they are applied."""
     from ..functions.patch import apply_patch
 
-    chunks = t.pages.select("page_id", F.posexplode(F.array(F.lit("@@\n a\n-"), F.concat(F.lit("b\n+z"), F.col("page_id").cast("string")), F.lit("\n"))).alias("i", "c"))
-    s = chunks.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]), "").alias("p"))
-    return s.select("page_id", apply_patch(F.lit("a\nb\n"), F.col("p")).alias("s"))
+    n = F.col("page_id").cast("string")
+    parts = [F.lit("@@\n a\n-"), F.concat(F.lit("b\n+z"), n), F.lit("\n@"), F.lit("@\n c\n-d\n+e\n")]
+    s = st.parsed(_chunks(t, t.pages, ["page_id"], parts), ["page_id"], "i", "c", "ends", st.hunk_parser)
+    got = st.drain(s, scratch(t.spark, "hunks"), scratch(t.spark, "check"))
+    per = got.groupBy("page_id").agg(F.count(F.lit(1)).alias("hunks"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "").alias("p"))
+    return per.select("page_id", "hunks", apply_patch(F.lit("a\nb\nc\nd\n"), F.col("p")).alias("s"))
 
 
 @query("SM10_wait_for_owner", "SELECT user_id, event_id FROM events WHERE event_type <> 'signup' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')")
@@ -206,10 +294,18 @@ def _(t):
     return st.drain(st.buffered_until_owner(s, "user_id", "event_type", "signup", "event_id"), scratch(t.spark, "owner"), scratch(t.spark, "check"))
 
 
-@query("SM15_bounded_fan_out", "SELECT p_partkey, 'done ' || p_brand AS result FROM part")
+_FAN_SQL = """WITH j AS (SELECT p_brand, list([p_partkey, p_size]::BIGINT[] ORDER BY p_partkey) AS items FROM part GROUP BY 1),
+f AS (SELECT p_brand, items, list_reduce(items, lambda a, x: list_concat(list_transform(a[1:8], lambda v, i: CASE WHEN i = list_position(a[1:8], list_min(a[1:8])) THEN v + x[2] ELSE v END), a[9:], [list_position(a[1:8], list_min(a[1:8])), list_min(a[1:8])]), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[])[9:] AS a FROM j),
+e AS (SELECT p_brand, unnest(items) AS x, unnest(range(len(items))) AS k, a FROM f)
+SELECT p_brand, x[1] AS p_partkey, CAST(a[2 * k + 1] AS INTEGER) AS slot, a[2 * k + 2] AS started, a[2 * k + 2] + x[2] AS ended FROM e"""
+
+
+@query("SM15_bounded_fan_out", _FAN_SQL)
 def _(t):
-    """As many workers as partitions."""
-    return t.part.repartition(8).select("p_partkey", F.concat(F.lit("done "), "p_brand").alias("result"))
+    """A job a brand; eight of its parts are worked on at once, each for as long as it is large."""
+    from ..operators import jobs
+
+    return jobs.fan_out(t.part, ["p_brand"], "p_partkey", "p_size", jobs.concurrency(8))
 
 
 @query("SM16_late_rejected", "SELECT count(*) AS n FROM events WHERE event_type = 'click' AND value < 50")
@@ -221,16 +317,27 @@ def _(t):
     return u.refused_commands(given, ["event_id"], "o", "c", moves, "pending").agg(F.coalesce(F.sum("refused"), F.lit(0)).alias("n"))
 
 
-@query("UD1_row_job", "SELECT p_partkey, 'Review ' || p_brand AS task, CAST(length('Review ' || p_brand) AS BIGINT) AS size FROM part")
-def _(t):
-    """Each row's template goes to a deterministic worker, one result a row."""
-    ship(t.spark)
+def _reviewer(task: str) -> str:
+    """A deterministic worker: it counts its task, fails for some numbers and stops the job at others."""
+    n = int(task.rpartition(" ")[2])
+    if n % 7 == 0:
+        return "not JSON"
+    if n % 11 == 0:
+        return f'{{"result": {{"size": "{n}"}}}}'
+    return f'{{"result": {{"size": {len(task)}, "even": {"true" if n % 2 == 0 else "false"}}}, "stop": {"true" if n % 50 == 1 else "false"}}}'
 
-    def work(frames):
-        for x in frames:
-            yield x.assign(size=x["task"].str.len())
 
-    return t.part.select("p_partkey", render_template("Review {brand}", {"brand": F.col("p_brand")}).alias("task")).mapInPandas(work, "p_partkey long, task string, size long")
+@query("UD1_row_job", """WITH t AS (SELECT p_brand, p_partkey AS k, 'Review ' || p_brand || ' ' || p_partkey AS task, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 4 AS wave FROM part),
+g AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'no JSON' WHEN k % 11 = 0 THEN 'field even' END AS wrong, k % 7 <> 0 AND k % 11 <> 0 AND k % 50 = 1 AS stop FROM t),
+s AS (SELECT *, coalesce(wave <= min(wave) FILTER (WHERE stop) OVER (PARTITION BY p_brand), true) AS ran FROM g)
+SELECT p_brand, k AS p_partkey, CASE WHEN NOT ran THEN 'pending' WHEN wrong IS NULL THEN 'completed' ELSE 'failed' END AS status,
+  CASE WHEN ran AND wrong IS NULL THEN '{"even":' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END || ',"size":' || length(task) || '}' END AS result, CASE WHEN ran THEN wrong END AS error FROM s""")
+def _(t):
+    """A job a brand, four rows at once; results are checked against two fields, and a worker may stop its job."""
+    from ..operators import jobs
+
+    task = render_template("Review {brand} {key}", {"brand": F.col("p_brand"), "key": F.col("p_partkey")})
+    return jobs.row_job(t.part, ["p_brand"], "p_partkey", task, _reviewer, {"size": int, "even": bool}, 4)
 
 
 @query("UD2_registered_tool", "SELECT p_partkey, p_size * 2 AS doubled FROM part")

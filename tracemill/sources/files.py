@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import scratch
+
 UUID = "[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
 
 
@@ -17,10 +19,15 @@ def session_name(file_name: Column) -> Column:
     return F.when(file_name.rlike(p), F.struct(ts.alias("ts"), F.regexp_extract(file_name, p, 2).alias("id")))
 
 
+def updated_at(mtime: Column) -> Column:
+    """A file's time as records have it: whole milliseconds."""
+    return F.date_trunc("millisecond", mtime)
+
+
 def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """file, mtime (ms), ord, line of every file below path. Line order is a file's own, so a file is read whole."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    meta = raw.select(F.col("_metadata.file_name").alias("file"), F.date_trunc("millisecond", F.col("_metadata.file_modification_time")).alias("mtime"), "value")
+    meta = raw.select(F.col("_metadata.file_name").alias("file"), updated_at(F.col("_metadata.file_modification_time")).alias("mtime"), "value")
     lines = meta.select("file", "mtime", F.posexplode(F.split("value", "\n")).alias("ord", "line"))
     return lines.where(F.btrim("line") != "")
 
@@ -93,6 +100,20 @@ def read_bundle(spark: SparkSession, path: str, event_schema: str, payload_schem
     return e.join(spark.read.schema(payload_schema).option("mode", "FAILFAST").json(f"{path}/payloads"), "payload_id", "left")
 
 
+def all_pages(spark: SparkSession, fetch: Callable[[object], tuple[list[tuple], object]], schema: str) -> DataFrame:
+    """What a paged source has: fetch(cursor) gives rows and the next cursor, None at the end. With the page's number.
+
+    The driver holds one page at a time; pages go to the shared folder.
+    """
+    path, cursor, page = scratch(spark, "pages"), None, 0
+    while True:
+        rows, cursor = fetch(cursor)
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/page={page}")
+        if cursor is None:
+            return spark.read.schema(f"{schema}, page long").parquet(path)
+        page += 1
+
+
 def sse_events(text: Column) -> Column:
     """array<struct<event, data>> of a captured stream: blocks parted by blank lines, data lines joined."""
     blocks = F.filter(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n\n+"), lambda b: F.btrim(b) != "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,3 +72,77 @@ def staged(df: DataFrame, label: str, files: int = 4) -> str:
     path = scratch(df.sparkSession, label)
     df.repartition(files).write.parquet(path)
     return path
+
+
+# --- parsers of text that comes in chunks, with state from chunk to chunk
+
+Pieces = list[tuple[str, str]]
+
+
+def tags(open_: str, close: str) -> Callable[[str, str, bool], tuple[str, Pieces]]:
+    """A parser that tells text in tags ("hidden") from the rest ("shown"), wherever chunks are cut.
+
+    Its state is what is not given out yet: the end of the text that may begin a mark, or all of an open tag's
+    text, behind one letter for which of the two. At the end an open tag closes.
+    """
+
+    def tail(text: str, mark: str) -> int:
+        return next((n for n in range(min(len(text), len(mark) - 1), 0, -1) if text.endswith(mark[:n])), 0)
+
+    def feed(state: str, chunk: str, ended: bool) -> tuple[str, Pieces]:
+        inside, text, out = state[:1] == "h", state[1:] + chunk, []
+        while (at := text.find(close if inside else open_)) >= 0:
+            out.append(("hidden" if inside else "shown", text[:at]))
+            text, inside = text[at + len(close if inside else open_) :], not inside
+        if ended:
+            return "", [*out, ("hidden" if inside else "shown", text)]
+        if inside:
+            return "h" + text, out
+        keep = len(text) - tail(text, open_)
+        return "s" + text[keep:], [*out, ("shown", text[:keep])]
+
+    return feed
+
+
+def hunk_parser(state: str, chunk: str, ended: bool) -> tuple[str, Pieces]:
+    """Gives out a patch's hunks, each as soon as the next one begins; the state is the last one so far."""
+    text = state + chunk
+    at = [m.start() for m in re.finditer("^@@", text, re.M)]
+    whole = zip(at, [*at[1:], len(text)] if ended else at[1:], strict=False)
+    held = "" if ended else text[at[-1] :] if at else text
+    return held, [("hunk", text[a:b]) for a, b in whole]
+
+
+def parsed(stream: DataFrame, keys: list[str], order: str, chunk: str, last: str, parser: Callable[[str, str, bool], tuple[str, Pieces]]) -> DataFrame:
+    """keys, n, kind, piece: what the parser gives out of each text, n counting along it.
+
+    Chunks of a text come in order from batch to batch; `last` marks the one that ends it, and its state goes then.
+    """
+    ship(stream.sparkSession)
+    types = {f.name: f.dataType.simpleString() for f in stream.schema}
+
+    def run(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, n = state.get if state.exists else ("", 0)
+        out, ended = [], False
+        for rows in frames:
+            rows = rows.sort_values(order)
+            for text, ends in zip(rows[chunk], rows[last], strict=True):
+                held, pieces = parser(held, text or "", bool(ends))
+                out += [(n + i, kind, piece) for i, (kind, piece) in enumerate(pieces)]
+                n, ended = n + len(pieces), ended or bool(ends)
+        if ended:
+            state.remove()
+        else:
+            state.update((held, n))
+        yield pd.DataFrame({**{c: [v] * len(out) for c, v in zip(keys, k, strict=True)}, "n": [x[0] for x in out], "kind": [x[1] for x in out], "piece": [x[2] for x in out]})
+
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", n long, kind string, piece string"
+    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "held string, n long", "append", "NoTimeout")
+
+
+def staged_in_order(df: DataFrame, label: str, order: str, count: int) -> str:
+    """A folder with a file for each value of order from 0 on, in the order in which a stream takes them in."""
+    path = scratch(df.sparkSession, label)
+    for i in range(count):
+        df.where(F.col(order) == i).coalesce(1).write.mode("append").parquet(path)
+    return path
