@@ -325,6 +325,20 @@ def test_divided_groups_against_brute_force(spark, monkeypatch, most):
     assert [(a, b, c, bytes(k)) for _, a, b, c, k in got] == brute_repeats(texts, 50)
 
 
+def test_query_of_repeats(spark, tmp_path):
+    """Bytes by 400-byte strings, words by runs of 50 words; rows of one id and rows that repeat have their own figures."""
+    rng = random.Random(31)
+    some = lambda n, size: " ".join("".join(rng.choice("abcdefghij") for _ in range(size)) for _ in range(n))
+    short, long = some(55, 3), some(60, 9)
+    texts = [(i, some(30, 5) + " " + [short, long, ""][i % 3] + " " + some(20, 5)) for i in range(12)]
+    texts += [(3, None), (3, "other"), (None, texts[0][1]), texts[0], (40, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in suffix_dedup.op4(spark, str(tmp_path)).collect()))
+    ts = [t for _, t in texts]
+    want = [(str(i), n, gone, runs, hashlib.sha256(kept).hexdigest(), len((t or "").split()) - len(left)) for (i, t), (n, gone, runs, kept), left in zip(texts, brute_repeats(ts, 400), brute_words(ts, 50), strict=True)]
+    assert got == sorted(want) and {w[5] for w in want} > {0, 55, 60}
+
+
 def test_many_documents_meet_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(common, "MOST_SENT", 0)
     texts = ["one two three four five six seven eight nine ten " * 3 + str(i % 3) for i in range(9)] + ["other", None]

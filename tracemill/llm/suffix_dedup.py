@@ -511,6 +511,22 @@ def drop_repeats(docs: DataFrame, id_col="doc_id", text_col="text", unit: Unit =
     return out.select(*[F.col(f"row.`{c}`") for c in others], text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def repeated_words(docs: DataFrame, id_col="doc_id", text_col="text", unit: Unit = WORDS) -> DataFrame:
+    """id, mark, n: how many symbols of the text with hash mark lie under repeats; only documents that have any."""
+    spans = repeated_spans(_keyed(docs, id_col, text_col, [id_col]).select("id", "mark", "data"), unit)
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    add = lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["n"] + F.greatest(x["end"] - F.greatest(a["end"], x["start"]), F.lit(0))).alias("n"))
+    return spans.select("id", "mark", F.aggregate(F.array_sort("spans"), start, add, lambda a: a["n"]).alias("n"))
+
+
 def op4(spark, sf_dir):
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, by bytes, and n_passage_words: words under runs of 50 words that also start elsewhere.
+
+    A passage of 50 words often has less than 400 bytes; the last column tells of these too, and cuts nothing.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = repeated_words(docs)
+    keyed = docs.withColumn("text_mark", F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    out = remove_repeats(keyed).select("doc_id", "text_mark", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = out.join(small(words), out["doc_id"].cast("long").eqNullSafe(words["id"]) & (out["text_mark"] == words["mark"]), "left")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n", F.lit(0).cast("long")).alias("n_passage_words"))
