@@ -114,7 +114,7 @@ def _bundle(t):
     return path
 
 
-@query("SC13_trace_writer", "SELECT 'payloads' AS part, count(*) AS n, sum(strlen(props)) AS bytes FROM events UNION ALL SELECT 'events', count(*), sum(strlen(event_type)) FROM events")
+@query("SC13_trace_writer", "SELECT 'payloads' AS part, count(*) AS n, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM events UNION ALL SELECT 'events', count(*), CAST(sum(strlen(event_type)) AS BIGINT) FROM events")
 def _(t):
     """What lies in the two parts of a bundle; an event's payload is there before the event is."""
     path = _bundle(t)
