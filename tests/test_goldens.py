@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import text as x
 from tracemill.functions.patch import apply
-from tracemill.operators import aggregates, filters, graphs, joins, reduce, search, upserts, windows
+from tracemill.operators import aggregates, filters, graphs, jobs, joins, reduce, search, upserts, windows
 from tracemill.sources import files
 
 EDGES = [(20, 22, "open"), (20, 21, "open"), (21, 24, "open"), (22, 23, "closed"), (20, 25, "closed"), (25, 26, "closed")]
@@ -162,3 +162,58 @@ def test_si_suffix(spark, n, want):
 @pytest.mark.parametrize("ms, want", [(250, "250ms"), (1500, "1.50s"), (59_999, "60.00s"), (75_000, "1m 15s"), (3_600_000, "60m 00s")])
 def test_elapsed(spark, ms, want):
     assert one(spark, x.elapsed(F.lit(ms))) == want
+
+
+@pytest.mark.parametrize(
+    "script, want",
+    [
+        ("ls -1", [["ls", "-1"]]),
+        ("ls && pwd; echo 'hi there' | wc -l", [["ls"], ["pwd"], ["echo", "hi there"], ["wc", "-l"]]),
+        ('git commit -m "line1\nline2"', [["git", "commit", "-m", "line1\nline2"]]),
+        ("""echo "/usr"'/'"local"/bin""", [["echo", "/usr/local/bin"]]),
+        ("""echo '/usr'"/"'local'/bin""", [["echo", "/usr/local/bin"]]),
+        ("echo 123 456", [["echo", "123", "456"]]),
+        ('rg -n "foo" -g"*.py"', [["rg", "-n", "foo", "-g*.py"]]),
+        ("grep -n 'pattern' -g'*.txt'", [["grep", "-n", "pattern", "-g*.txt"]]),
+        ("ls --color=never \\\n  src;\n\npwd\n", [["ls", "--color=never", "src"], ["pwd"]]),
+        ('echo ""', [["echo", ""]]),
+        ("", []),
+        ("  \n", []),
+        (None, None),
+        *[
+            (bad, None)
+            for bad in (
+                "(ls)", "ls || (pwd && echo hi)", "ls > out.txt", "echo hi & echo bye", "echo $(pwd)", "echo `pwd`", "echo $HOME", 'echo "hi $USER"', 'echo "hi ${USER}"', "FOO=bar ls",
+                "ls &&", "&& ls", "ls ;; pwd", "ls | | wc", "ls |& wc", 'rg -g"$VAR" pattern', 'rg -g"$(pwd)" pattern', "ls # all", "! ls", "if true; then ls; fi", "123 x", "'ls' -l", "l's' -l", "echo \"\"''", 'echo "open', "a {b,c}", "[ -f x ]",
+            )
+        ],
+    ],
+)
+def test_plain_commands(spark, script, want):
+    assert one(spark, x.plain_commands(F.lit(script).cast("string"))) == want
+
+
+def test_plain_commands_of_long_scripts(spark):
+    words = ["w" * 50_000, *["a"] * 3000]
+    assert one(spark, x.plain_commands(F.lit("ls " + " ".join(words) + " '" + "q" * 50_000 + "'"))) == [["ls", *words, "q" * 50_000]]
+
+
+def test_item_ids(spark):
+    def want(ids):
+        seen, out = set(), []
+        for i, base in enumerate(ids, 1):
+            base = base if base and base.strip() else f"row-{i}"
+            name, k = base, 2
+            while name in seen:
+                name, k = f"{base}-{k}", k + 1
+            seen.add(name)
+            out.append(name)
+        return out
+
+    import random
+
+    rng = random.Random(5)
+    pool = ["a", "a", "a-2", "a-2-2", "a-3", "a-02", "b", "b", "row-3", "row-3-2", "", None, " ", "c-1", "x-", "-2"]
+    for ids in (["a", "a", "a"], ["a-2", "a", "a"], ["a", "a", "a-2"], [], *[[rng.choice(pool) for _ in range(60)] for _ in range(3)]):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(ids, 1)], "n long, v string")
+        assert [r.item_id for r in jobs.item_ids(df, "n", "v").orderBy("n").collect()] == want(ids)

@@ -243,15 +243,40 @@ def rate_limits(headers: Column, prefix: str) -> Column:
     return F.struct(num("used-percent").alias("used_percent"), num("window-minutes").cast("long").alias("window_minutes"), num("reset-at").cast("long").alias("reset_at"))
 
 
+_BLANK = r"(?:[ \t\r\f]|\\\r?\n)"
+_BARE = r"[^\s'\"<>{}\[\]()`$|&;\\]|\\\S"
+_WORD = rf"(?:(?!#)(?:{_BARE})(?:{_BARE}|\\ )*+)"
+_QUOTED = r"""(?:"(?:[^"$`\\]|\\[\s\S])*+"|'[^']*+')"""
+_ARGUMENT = rf"(?:{_WORD}|{_QUOTED})++"
+#: Words that begin something else than a plain command.
+_RESERVED = "!|if|then|else|elif|fi|for|while|until|do|done|case|esac|select|function|declare|typeset|export|readonly|local|unset|unsetenv"
+_ENDS = r"(?=[\s;&|]|\\\r?\n|$)"
+_NAME = rf"(?!(?:{_RESERVED}|-?\d+){_ENDS})(?![A-Za-z_]\w*\+?=){_WORD}{_ENDS}"
+_COMMAND = rf"{_NAME}(?:{_BLANK}++{_ARGUMENT})*+"
+_SPACE = rf"(?:{_BLANK}|\n)*+"
+_JOINT = rf"{_BLANK}*+(?:&&|\|\||\|(?!&)|;|\n){_SPACE}"
+_SCRIPT = rf"^{_SPACE}(?:{_COMMAND}(?:{_JOINT}{_COMMAND})*+{_BLANK}*+;?+{_SPACE})?+$"
+
+
 def plain_commands(script: Column) -> Column:
-    """Word lists of a script that only joins plain commands; null where it does anything else.
+    """Word lists of a script that only joins plain commands by &&, ||, ;, | or line ends; null where it does anything else.
 
-    Words are split at blanks; quotes, substitutions, redirections and globs make it not plain.
+    Words may be quoted in whole or in part; what is in quotes stays as it is written. Substitutions, redirections,
+    groups, assignments, comments, reserved words and jobs in the background make it not plain.
     """
-    ok = ~script.rlike(r"[$`<>(){}\[\]*?~#!\\'\"=]|(?<!&)&(?!&)")
-    parts = F.split(script, r"\s*(?:&&|\|\||;|\||\n)\s*")
-    words = F.transform(F.filter(parts, lambda p: F.btrim(p) != ""), lambda p: F.split(F.btrim(p), r"\s+"))
-    return F.when(ok, words)
+    tokens = F.regexp_extract_all(script, F.lit(rf"{_ARGUMENT}|\\\r?\n|&&|\|\||[;|\n]"), F.lit(0))
+    tokens = F.filter(tokens, lambda t: ~t.rlike(r"^\\\r?\n$"))
+    bare = lambda t: F.regexp_replace(t, rf"""\"((?:[^"\\]|\\[\s\S])*+)\"|'([^']*+)'|((?:{_BARE}|\\ )++)""", "$1$2$3")
+    joint = lambda t: t.isin("&&", "||", "|", ";", "\n")
+    commands = F.aggregate(
+        tokens,
+        F.array().cast("array<array<string>>"),
+        lambda a, t: F.when(joint(t), F.concat(a, F.array(F.array().cast("array<string>")))).otherwise(
+            F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat(F.coalesce(F.get(a, F.size(a) - 1), F.array().cast("array<string>")), F.array(bare(t)))))
+        ),
+    )
+    plain = script.rlike(_SCRIPT) & ~F.exists(tokens, lambda t: t.rlike("^(?:\"\"|''){2,}$"))
+    return F.when(plain, F.filter(commands, lambda c: F.size(c) > 0))
 
 
 def diff_paths(s: Column) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -100,3 +101,56 @@ def leases(beats: DataFrame, keys: Sequence[str], second: str, holder: str, last
 
     got = per.select(*keys, "bs", F.aggregate("bs", start, step, lambda a: a["out"]).alias("out"))
     return got.select(*keys, F.explode(F.arrays_zip("bs", "out")).alias("x")).select(*keys, F.col("x.bs.s").alias(second), F.col("x.bs.h").alias(holder), F.col("x.out").alias("held"))
+
+
+def item_ids(rows: DataFrame, row: str, id_col: str) -> DataFrame:
+    """rows with item_id: the id, or row-<row> for a blank one, and the first of -2, -3, ... where that is taken.
+
+    `row` numbers the rows from 1. An id can only meet another of its root, which is what is left without numbers
+    at the end. Where a root has one id its repeats are numbered by a window; where it has several, one may be
+    another's with a number, and Arrow batches pass through in order, with what is taken as state.
+    """
+    base = F.when(F.btrim(F.coalesce(id_col, F.lit(""))) == "", F.concat(F.lit("row-"), F.col(row).cast("string"))).otherwise(F.col(id_col))
+    keyed = rows.withColumn("_base", base).withColumn("_root", F.regexp_replace("_base", r"(-\d+)+$", ""))
+    whole = Window.partitionBy("_root")
+    keyed = keyed.withColumn("_mixed", F.min("_base").over(whole) != F.max("_base").over(whole))
+    n = F.row_number().over(Window.partitionBy("_root", "_base").orderBy(row))
+    alone = keyed.withColumn("_n", n).where(~F.col("_mixed")).withColumn("item_id", F.concat("_base", F.when(F.col("_n") > 1, F.concat(F.lit("-"), F.col("_n").cast("string"))).otherwise("")))
+
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, taken = None, None
+        for batch in batches:
+            out = []
+            for r, b in zip(batch.column("_root").to_pylist(), batch.column("_base").to_pylist(), strict=True):
+                if taken is None or r != root:
+                    root, taken = r, Taken()
+                out.append(taken.add(b))
+            yield batch.select(names).append_column("item_id", pa.array(out, pa.string()))
+
+    ship(rows.sparkSession)
+    mixed = keyed.where("_mixed").repartition("_root").sortWithinPartitions("_root", row)
+    schema = StructType([*rows.schema.fields, StructField("item_id", StringType())])
+    return alone.select(*names, "item_id").unionByName(mixed.mapInArrow(run, schema))
+
+
+class Taken:
+    """Which ids are taken: those that were free, and for every repeated one how far its numbers go."""
+
+    def __init__(self):
+        self.free, self.following = set(), {}
+
+    def __contains__(self, name: str) -> bool:
+        base, _, k = name.rpartition("-")
+        return name in self.free or (k.isascii() and k.isdecimal() and k[0] != "0" and 2 <= int(k) < self.following.get(base, 2))
+
+    def add(self, base: str) -> str:
+        if base not in self:
+            self.free.add(base)
+            return base
+        k = self.following.get(base, 2)
+        while f"{base}-{k}" in self:
+            k += 1
+        self.following[base] = k + 1
+        return f"{base}-{k}"

@@ -202,10 +202,16 @@ def _(t):
     return t.orders.select("o_orderkey", x.rate_limits(h, "x").alias("r")).select("o_orderkey", "r.used_percent", "r.window_minutes", "r.reset_at")
 
 
-@query("FN32_plain_commands", "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN [['ls', '-l'], ['cat', 'f' || page_id]] END AS cmds FROM pages")
-def _(t):
-    n = F.col("page_id").cast("string")
-    s = F.concat(F.lit("ls -l "), F.when(F.col("page_id") % 3 == 0, "> out").otherwise("&&"), F.lit(" cat f"), n)
+@query("FN32_plain_commands", """SELECT page_id, CASE page_id % 6 WHEN 1 THEN [['ls', '-l'], ['cat', 'f' || page_id]] WHEN 2 THEN [['git', 'log', '-m', 'a b' || chr(10) || page_id], ['wc', '-l']]
+WHEN 4 THEN [['rg', '-n', 'x|y;z', '-g*.py' || page_id], ['echo', '']] END AS cmds FROM pages""")
+def _(t):
+    """Joined commands, quotes with line ends and signs in them, words quoted in part; redirections, assignments and substitutions are refused."""
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 6
+    scripts = ["ls -l > out cat f", "ls -l && cat f", "git log -m 'a b\n{}' | wc -l", "A=1 ls ", "rg -n 'x|y;z' -g\"*.py{}\"\necho \"\";", "echo \"$(pwd)\" "]
+    s = F.lit(None).cast("string")
+    for i, text in enumerate(scripts):
+        head, _, tail = text.partition("{}")
+        s = F.when(k == i, F.concat(F.lit(head), n, F.lit(tail))).otherwise(s)
     return t.pages.select("page_id", x.plain_commands(s).alias("cmds"))
 
 

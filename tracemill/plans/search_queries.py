@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.patch import apply_patch
+from ..operators import jobs
 from ..operators import reduce as r
 from ..operators import search as s
 from ..operators.windows import latest_by
@@ -180,12 +181,18 @@ def _(t):
     return t.events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("request")).join(b, ["user_id", "request"]).select("request", "response")
 
 
-@query("FN21_item_ids", "SELECT p_partkey, p_brand || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS item FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)")
-def _(t):
-    from pyspark.sql import Window
+_IDS = "CASE p_partkey % 5 WHEN 0 THEN p_brand || '-2' WHEN 1 THEN '' ELSE p_brand END"
 
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return t.part.select("p_partkey", F.concat("p_brand", F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise("")).alias("item"))
+
+@query("FN21_item_ids", f"""WITH RECURSIVE b AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 1 THEN 'row-' || p_partkey ELSE {_IDS} END AS base, CASE WHEN p_partkey % 5 = 1 THEN 'row' ELSE p_brand END AS root FROM part),
+o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY p_partkey) AS i FROM b WHERE root <> 'row'),
+f AS (SELECT root, i, base AS item, [base] AS seen FROM o WHERE i = 1 UNION ALL SELECT root, i, item, list_append(seen, item) AS seen FROM (SELECT o.root, o.i, f.seen,
+CASE WHEN NOT list_contains(f.seen, o.base) THEN o.base ELSE o.base || '-' || list_min(list_filter(range(2, len(f.seen) + 3), lambda k: NOT list_contains(f.seen, o.base || '-' || k))) END AS item FROM f JOIN o ON o.root = f.root AND o.i = f.i + 1))
+SELECT o.p_partkey, f.item FROM f JOIN o USING (root, i) UNION ALL SELECT p_partkey, base FROM b WHERE root = 'row'""")
+def _(t):
+    """Some ids are another's with a number, some are blank."""
+    p = t.part.select("p_partkey", F.expr(_IDS).alias("id"))
+    return jobs.item_ids(p, "p_partkey", "id").select("p_partkey", F.col("item_id").alias("item"))
 
 
 @query("FN35_apply_patch", "SELECT page_id, 'a' || chr(10) || 'B' || page_id || chr(10) || 'c' || chr(10) AS s FROM pages")
