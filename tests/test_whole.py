@@ -3,6 +3,7 @@
 import random
 import re
 from collections import defaultdict
+from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import given
@@ -21,23 +22,39 @@ def con(sf):
     return connect(sf)
 
 
+def sent_out(changes, every):
+    """[(moment, items)] of one key, a change at a time."""
+    out, waiting = [], sorted(changes)
+    while waiting:
+        at = waiting[0][0] if not out else max(out[-1][0] + every, waiting[0][0])
+        out.append((at, sorted({c for t, c in waiting if t <= at})))
+        waiting = [(t, c) for t, c in waiting if t > at]
+    return out
+
+
 def test_all_throttled_sets(spark, sf):
-    want = defaultdict(set)
-    for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").collect():
-        want[r.user_id, r.day].add(r.event_type)
-    got = QUERIES["SM5_throttled_sets"](spark, sf).select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "items").collect()
+    changes = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_type").collect():
+        changes[r.user_id].append((r.ts, r.event_type))
+    want = {(k, at): items for k, v in changes.items() for at, items in sent_out(v, timedelta(days=1))}
+    got = QUERIES["SM5_throttled_sets"](spark, sf).collect()
     assert len(got) == len(want)
-    assert {(r.user_id, r.day): r["items"] for r in got} == {k: sorted(v) for k, v in want.items()}
+    assert {(r.user_id, r.start): r["items"] for r in got} == want
 
 
 def test_throttled_sets_over_batches(spark, tmp_path):
-    """A set that is added to in a later batch, by rows older than others before them, is there once and whole."""
-    path = str(tmp_path / "in")
-    for at, kind in (("2024-01-05", "a"), ("2024-01-01", "b"), ("2024-01-05", "c")):
-        spark.createDataFrame([(1, at, kind)], "k long, at string, kind string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(path)
-    s = streams.throttled_sets(streams.file_stream(spark, path, "k long, at timestamp, kind string", 1), "k", "at", "1 day", "kind").select("k", F.date_format("w.start", "dd").alias("day"), "items")
-    got = streams.drain_latest(s, ["k", "day"], str(tmp_path / "out"), str(tmp_path / "check")).collect()
-    assert sorted((r.day, r["items"]) for r in got) == [("01", ["b"]), ("05", ["a", "c"])]
+    """Sets that wait from batch to batch, ties that batches divide, and a set that still waits at the end."""
+    path, rng, changes = str(tmp_path / "in"), random.Random(11), defaultdict(list)
+    start = datetime(2024, 1, 1)
+    times = sorted(start + timedelta(hours=rng.randrange(0, 24 * 20, 3)) for _ in range(60))
+    for i in range(0, 60, 12):
+        rows = [(rng.randrange(2), t, rng.choice("abcd")) for t in times[i : i + 12]]
+        for k, t, c in rows:
+            changes[k].append((t, c))
+        spark.createDataFrame(rows, "k long, at timestamp, kind string").coalesce(1).write.mode("append").parquet(path)
+    s = streams.throttled_sets(streams.file_stream(spark, path, "k long, at timestamp, kind string", 1), "k", "at", timedelta(days=1), "kind")
+    got = streams.drain_latest(s, ["k", "at"], str(tmp_path / "out"), str(tmp_path / "check")).collect()
+    assert sorted((r.k, r["at"], r["items"]) for r in got) == sorted((k, *x) for k, v in changes.items() for x in sent_out(v, timedelta(days=1)))
 
 
 def test_all_descendants_in_order(spark, sf):

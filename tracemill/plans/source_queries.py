@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..cluster import scratch, ship
@@ -251,10 +253,13 @@ def _(t):
     return jobs.leases(beats, ["job"], "s", "worker", 900)
 
 
-@query("SM5_throttled_sets", "SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, list_sort(list(DISTINCT event_type)) AS items FROM events GROUP BY 1, 2")
+@query("SM5_throttled_sets", """WITH RECURSIVE x AS (SELECT DISTINCT user_id, ts, event_type FROM events),
+e AS (SELECT user_id, min(ts) AS at FROM x GROUP BY 1 UNION ALL SELECT e.user_id, greatest(e.at + INTERVAL 1 DAY, min(x.ts)) AS at FROM e JOIN x ON x.user_id = e.user_id AND x.ts > e.at GROUP BY e.user_id, e.at)
+SELECT x.user_id, e.at AS start, list_sort(list(DISTINCT x.event_type)) AS items FROM x ASOF JOIN e ON x.user_id = e.user_id AND x.ts <= e.at GROUP BY 1, 2""")
 def _(t):
-    sets = st.throttled_sets(st.file_stream(t.spark, _ordered_events(t), _SCHEMA), "user_id", "ts", "1 day", "event_type").select("user_id", F.col("w.start").alias("start"), "items")
-    return st.drain_latest(sets, ["user_id", "start"], scratch(t.spark, "sets"), scratch(t.spark, "check")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """The moments at which each user's changes go out, a day apart or more, and the kinds that each brings."""
+    sets = st.throttled_sets(st.file_stream(t.spark, _ordered_events(t), _SCHEMA), "user_id", "ts", timedelta(days=1), "event_type")
+    return st.drain_latest(sets, ["user_id", "ts"], scratch(t.spark, "sets"), scratch(t.spark, "check")).select("user_id", F.col("ts").cast("timestamp_ntz").alias("start"), "items")
 
 
 def _chunks(t, rows, keys, parts):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -50,12 +51,42 @@ def buffered_until_owner(stream: DataFrame, key: str, kind: str, owner: str, val
     return stream.groupBy(key).applyInPandasWithState(run, schema, f"held array<{types[value]}>, there boolean", "append", "NoTimeout")
 
 
-def throttled_sets(stream: DataFrame, key: str, at: str, every: str, item: str) -> DataFrame:
-    """What changed in each interval: one set a key and interval, for drain_latest().
+def throttled_sets(stream: DataFrame, key: str, at: str, every: timedelta, item: str) -> DataFrame:
+    """key, at, items: the first change goes out at once, later ones together, `every` after what went out before.
 
-    No watermark: it would refuse late rows, and in append mode keep back what is open when the input ends.
+    A set goes out at a moment that the times of changes decide: when it may, or with the next change after that.
+    What waits is given out with each batch as far as it is known, for drain_latest(): so the end of the input needs
+    no timer, and a change that comes late is in the newest set. State is what went out last and what waits.
     """
-    return stream.groupBy(key, F.window(at, every).alias("w")).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    ship(stream.sparkSession)
+    types = {f.name: f.dataType.simpleString() for f in stream.schema}
+
+    def run(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        sent, went, waits = state.get if state.exists else (None, [], [])
+        now, waits = (None, set()) if sent is None else (pd.Timestamp(sent), set(waits))
+        went, out = set(went), {}
+        rows = pd.concat([f[[at, item]] for f in frames]).dropna(subset=[at]).drop_duplicates().sort_values(at, kind="stable")
+        for t, changes in rows.groupby(at, sort=True)[item]:
+            changes = set(changes.dropna())
+            if waits and t > now + every:
+                now, went, waits = now + every, waits, set()
+                out[now] = went
+            if now is None or (t >= now + every and not waits):
+                now, went = t, changes
+                out[now] = went
+            elif t <= now:
+                went |= changes
+                out[now] = went
+            else:
+                waits |= changes
+        if waits:
+            out[now + every] = waits
+        if now is not None:
+            state.update((now.to_pydatetime(), sorted(went), sorted(waits)))
+        yield pd.DataFrame({key: [k[0]] * len(out), at: pd.Series(list(out), dtype="datetime64[ns]"), "items": [sorted(v) for v in out.values()]})
+
+    schema = f"{key} {types[key]}, {at} {types[at]}, items array<{types[item]}>"
+    return stream.groupBy(key).applyInPandasWithState(run, schema, f"sent {types[at]}, went array<{types[item]}>, waits array<{types[item]}>", "update", "NoTimeout")
 
 
 def drain_latest(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
