@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.items import normalized_items
 from ..functions.patch import apply_patch
 from ..operators import jobs
 from ..operators import reduce as r
@@ -108,6 +109,42 @@ def _(t):
     return e.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("usage"), F.sort_array(F.collect_list("event_id")).alias("items"))
 
 
+#: A raw item by number of the case, {} the row's number, and what it is: role, channel, kind, call id, parts, error.
+_ITEMS = [
+    ('{"type":"message","role":"user","content":[{"type":"input_text","text":"t{}"},{"type":"input_image"},{"type":"text"},{"x":1}]}', ("user", None, "message", None, "text::t{};payload_ref:input_image:;payload_ref:content:", None)),
+    ('{"type":"message","role":"assistant","phase":"final_answer","content":[]}', ("assistant", "final", "message", None, "payload_ref:empty_content:", None)),
+    ('{"type":"message","role":"{}","content":[]}', (None, None, None, None, None, "unknown role {}")),
+    ('{"type":"reasoning","content":null,"summary":[{"type":"summary_text","text":"s{}"}],"encrypted_content":"e{}"}', ("assistant", "analysis", "reasoning", None, "summary::s{};encoded:encrypted_content:e{}", None)),
+    ('{"type":"reasoning","summary":[]}', (None, None, None, None, None, "nothing in it")),
+    ('{"type":"reasoning","content":[{"type":"reasoning_text"}],"id":{}}', (None, None, None, None, None, "content has an entry without text")),
+    ('{"type":"function_call","call_id":"c{}","arguments":"{\\"b\\":{},\\"a\\":[1]}"}', ("assistant", "commentary", "function_call", "c{}", 'json::{"a":[1],"b":{}}', None)),
+    ('{"type":"function_call","call_id":{},"arguments":"ls {}"}', ("assistant", "commentary", "function_call", None, "text::ls {}", None)),
+    ('{"type":"function_call_output","call_id":"c{}","output":[{"type":"output_text","text":"o"}]}', ("tool", "commentary", "function_call_output", "c{}", "text::o", None)),
+    ('{"type":"custom_tool_call","call_id":"c{}","name":"exec","input":"f({})"}', ("assistant", "commentary", "custom_tool_call", "c{}", "code:javascript:f({})", None)),
+    ('{"type":"mcp_tool_call_output","call_id":"c","z":"' + "z" * 300 + '"}', ("tool", "commentary", "function_call_output", "c", 'json::{"call_id":"c","type":"mcp_tool_call_output","z":"' + "z" * 190 + "...", None)),
+    ('{"type":"compaction","encrypted_content":"{}"}', ("assistant", "summary", "message", None, "encoded:encrypted_content:{}", None)),
+    ('{"type":"other{}"}', (None, None, None, None, None, "unknown type other{}")),
+    ('{"type":', (None, None, None, None, None, "no JSON")),
+]
+
+
+def _sql_text(s: str | None) -> str:
+    return "NULL" if s is None else "replace('" + s.replace("'", "''") + "', '{}', CAST(page_id AS VARCHAR))"
+
+
+def _said(i: int) -> str:
+    return f"CASE page_id % {len(_ITEMS)} " + " ".join(f"WHEN {n} THEN {_sql_text(want[i])}" for n, (_, want) in enumerate(_ITEMS)) + " END"
+
+
+@query("RD6_normalized_items", "SELECT page_id, " + ", ".join(f"{_said(i)} AS {c}" for i, c in enumerate(("role", "channel", "kind", "call_id", "parts", "error"))) + " FROM pages")
+def _(t):
+    n = F.col("page_id")
+    raw = F.get(F.array(*[F.lit(item) for item, _ in _ITEMS]), (n % len(_ITEMS)).cast("int"))
+    got = normalized_items(t.pages.select("page_id", F.replace(raw, F.lit("{}"), n.cast("string")).alias("item")), "item")
+    shown = F.transform("parts", lambda p: F.concat(p["kind"], F.lit(":"), F.coalesce(p["label"], F.lit("")), F.lit(":"), F.coalesce(p["text"], F.lit(""))))
+    return got.select("page_id", "role", "channel", "kind", "call_id", F.array_join(shown, ";").alias("parts"), "error")
+
+
 @query("RD6_reconcile_items")
 def _(t):
     """Each conversation's prefixes are its snapshots; every third one is rewritten at its start."""
