@@ -65,8 +65,8 @@ def common_counters(docs: DataFrame, width: int) -> np.ndarray:
                     if text and mark not in texts:  # copies say nothing about a shingle
                         if len(texts) < 1_000_000:
                             texts.add(mark)
-                        h = s.set_of(text)
-                        seen[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
+                        h = s.ordered(text)
+                        seen[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1  # one a text, however often it is there
         high = np.flatnonzero(seen >= max(4, 4 * int(seen.mean() + 1)))
         high = high[np.argsort(-seen[high], kind="stable")[:MOST_COMMON]]
         yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(seen[high].astype(np.int64))], names=["counter", "n"])
