@@ -14,6 +14,7 @@ from tests.parity import connect
 from tracemill.functions import text
 from tracemill.operators import graphs, jobs, reduce, upserts
 from tracemill.plans import QUERIES
+from tracemill.sources import files
 from tracemill.streaming import streams
 
 
@@ -179,3 +180,33 @@ def test_slots_are_never_more_than_asked_for(spark, sf):
 @pytest.mark.parametrize("result, want", [("[1]", ("no object", False)), ('{"result": {"n": 1}}', (None, False)), ('{"result": {"n": true}}', ("field n", False)), ('{"result": {"n": 1}, "stop": true}', (None, True)), (None, ("no JSON", False)), ("{", ("no JSON", False))])
 def test_results_of_workers(result, want):
     assert jobs.checked_result(result, {"n": int}) == want
+
+
+def jobs_so_far(spark):
+    return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 41, 4000])
+def test_directories_of_many_pages(spark, tmp_path, n):
+    """Pages cost no jobs of their own: 100 of them take no more than 20."""
+    spark.range(n).selectExpr("id * 3 AS s_suppkey", "'s' || id AS s_name").repartition(3).write.parquet(str(tmp_path / "supplier.parquet"))
+    before = jobs_so_far(spark)
+    got = sorted(tuple(r) for r in QUERIES["SC22_paged_directory"](spark, str(tmp_path)).collect())
+    assert jobs_so_far(spark) - before <= 20
+    assert got == [(i * 3, f"s{i}", i // 40) for i in range(n)]
+
+
+def test_pages_of_equal_and_missing_keys(spark):
+    """Keys that pages divide lose no row; a cursor out of turn gives its own page."""
+    keys = [1, 1, 1, 1, 2, 3, 3, None, None, None]
+    rows = spark.createDataFrame([(k, str(i)) for i, k in enumerate(keys)], "k long, v string").repartition(4)
+    fetch = files.ordered_pages(rows, ["k", "v"], 3, held_rows=2)
+    want = [(k, str(i), i // 3) for i, k in enumerate(keys)]
+    for held in (1, 1 << 20):
+        got = files.all_pages(spark, fetch, "k long, v string", held)
+        assert len(got.inputFiles()) == (4 if held == 1 else 1)
+        assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[1]) == want
+    assert fetch(None) == ([r[:2] for r in want[:3]], 3)
+    assert fetch(6) == ([r[:2] for r in want[6:9]], 9)
+    assert fetch(3) == ([r[:2] for r in want[3:6]], 6)
+    assert fetch(9) == ([want[9][:2]], None)

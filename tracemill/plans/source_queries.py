@@ -183,13 +183,7 @@ def _(t):
 @query("SC22_paged_directory", "SELECT s_suppkey, s_name, (row_number() OVER (ORDER BY s_suppkey) - 1) // 40 AS page FROM supplier")
 def _(t):
     """Pages of 40 from a source that gives a cursor with each, until it gives none."""
-    return f.all_pages(t.spark, lambda after: _supplier_page(t, after), "s_suppkey long, s_name string")
-
-
-def _supplier_page(t, after):
-    rows = t.supplier if after is None else t.supplier.where(F.col("s_suppkey") > after)
-    rows = rows.orderBy("s_suppkey").limit(41).select("s_suppkey", "s_name").collect()  # one more tells whether another page follows
-    return [tuple(r) for r in rows[:40]], rows[39].s_suppkey if len(rows) > 40 else None
+    return f.all_pages(t.spark, f.ordered_pages(t.supplier.select("s_suppkey", "s_name"), ["s_suppkey", "s_name"], 40), "s_suppkey long, s_name string")
 
 
 @query("SC20_line_range", "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS s FROM documents")

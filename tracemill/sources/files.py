@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Sequence
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,20 +102,53 @@ def read_bundle(spark: SparkSession, path: str, event_schema: str, payload_schem
     return e.join(spark.read.schema(payload_schema).option("mode", "FAILFAST").json(f"{path}/payloads"), "payload_id", "left")
 
 
-def all_pages(spark: SparkSession, fetch: Callable[[object], tuple[list[tuple], object]], schema: str) -> DataFrame:
+def all_pages(spark: SparkSession, fetch: Callable[[object], tuple[list[tuple], object]], schema: str, held_bytes: int = 4 << 20) -> DataFrame:
     """What a paged source has: fetch(cursor) gives rows and the next cursor, None at the end. With the page's number.
 
-    The driver holds one page at a time; pages go to the shared folder.
+    The driver holds pages of held_bytes and one more; they go to the shared folder together, a file each time.
     """
-    path, cursor, page = scratch(spark, "pages"), None, 0
+    path, cursor, page, held, size = scratch(spark, "pages"), None, 0, [], 0
+    schema = f"{schema}, page long"
     while True:
         rows, cursor = fetch(cursor)
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/page={page}")
+        held += [(*r, page) for r in rows]
+        size += len(pickle.dumps(rows))
+        if cursor is None or size >= held_bytes:
+            spark.createDataFrame(held, schema).coalesce(1).write.mode("append").parquet(path)
+            held, size = [], 0
         if cursor is None:
-            return spark.read.schema(f"{schema}, page long").parquet(path)
+            return spark.read.schema(schema).parquet(path)
         page += 1
 
 
+def ordered_pages(rows: DataFrame, by: Sequence[str], n: int, held_rows: int = 50_000) -> Callable[[int | None], tuple[list[tuple], int | None]]:
+    """The fetch of a source that gives n rows a page in the order of `by`, nulls last; its cursor is how many it gave.
+
+    Pages asked for in turn come off one sort, of which the driver holds a range of about held_rows; for any other
+    cursor rows are sorted anew and those before it passed over.
+    """
+    order = [F.asc_nulls_last(c) for c in by]
+    at, ahead, rest = None, None, None
+
+    def fetch(cursor):
+        nonlocal at, ahead, rest
+        if rest is None or cursor != at:
+            at = cursor or 0
+            ranges = rows.repartitionByRange(rows.count() // held_rows + 1, *order).sortWithinPartitions(*order)
+            rest = ranges.toLocalIterator()
+            ahead = next(islice(rest, at, None), None)
+        page = []
+        while ahead is not None and len(page) < n:
+            page.append(tuple(ahead))
+            ahead = next(rest, None)
+        at += len(page)
+        if ahead is None:  # one row more tells whether another page follows
+            rest = None
+        return page, None if ahead is None else at
+
+    return fetch
+
+
 def sse_events(text: Column) -> Column:
     """array<struct<event, data>> of a captured stream: blocks parted by blank lines, data lines joined."""
     blocks = F.filter(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n\n+"), lambda b: F.btrim(b) != "")
