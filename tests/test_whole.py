@@ -196,6 +196,15 @@ def test_directories_of_many_pages(spark, tmp_path, n):
     assert got == [(i * 3, f"s{i}", i // 40) for i in range(n)]
 
 
+def test_a_directory_of_more_rows_than_are_held(spark, tmp_path):
+    """1500 pages off two ranges: as many jobs as a few pages take, and page numbers go on over the seam."""
+    spark.range(59_999, -1, -1).selectExpr("id AS s_suppkey", "'s' || id AS s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    before = jobs_so_far(spark)
+    got = sorted(tuple(r) for r in QUERIES["SC22_paged_directory"](spark, str(tmp_path)).collect())
+    assert jobs_so_far(spark) - before <= 20
+    assert got == [(i, f"s{i}", i // 40) for i in range(60_000)]
+
+
 def test_pages_of_equal_and_missing_keys(spark):
     """Keys that pages divide lose no row; a cursor out of turn gives its own page."""
     keys = [1, 1, 1, 1, 2, 3, 3, None, None, None]
